@@ -4,32 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.operators import curves, metrics
 
 
+def _models_seen(model: str) -> Column:
+    """Distinct models of a cell; the set holds at most one entry per model, so one shuffle is enough."""
+    return F.size(F.collect_set(model)).cast("bigint")
+
+
 def align_model_scores(scored: DataFrame, keys: Sequence[str], model: str = "model") -> DataFrame:
-    """Cells scored by every model; `n_models` and the mean score per cell.
+    """Cells scored by every model: `n_models`, the mean score and the label.
 
     Cells that some model missed are left out here and listed by `unaligned_cells`.
     """
     n_models = scored.agg(F.countDistinct(model)).scalar()
-    means = _cell_means(scored, keys, model)
-    return means.where(F.col("n_models") == n_models)
-
-
-def _cell_means(scored: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
-    # One row per cell and model, in case a model was scored twice (several fold models).
-    return scored.groupBy(*keys).agg(
-        F.countDistinct(model).alias("n_models"), F.avg("score").alias("score"), F.max("y").alias("y")
+    means = scored.groupBy(*keys).agg(
+        _models_seen(model).alias("n_models"), F.avg("score").alias("score"), F.max("y").alias("y")
     )
+    return means.where(F.col("n_models") == n_models)
 
 
 def unaligned_cells(scored: DataFrame, keys: Sequence[str], model: str = "model") -> DataFrame:
     n_models = scored.agg(F.countDistinct(model)).scalar()
-    return scored.groupBy(*keys).agg(F.countDistinct(model).alias("n_models")).where(F.col("n_models") < n_models)
+    return scored.groupBy(*keys).agg(_models_seen(model).alias("n_models")).where(F.col("n_models") < n_models)
 
 
 def ensemble_mean(scored: DataFrame, keys: Sequence[str], model: str = "model", threshold: float = 0.5) -> DataFrame:

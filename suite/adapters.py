@@ -198,7 +198,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRIALS = """trials AS (
-  SELECT user_id AS trial_id, event_id AS iteration, day(ts) AS epoch,
+  SELECT user_id AS trial_id, event_id AS iteration, CAST(day(ts) AS INTEGER) AS epoch,
          (user_id % 5) / 5.0e0 AS alpha, user_id % 7 AS gamma, event_type AS kind, value AS metric
   FROM events)"""
 
