@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as Unicode text defines it, with the ASCII separators.
-_SPACE = r"[\s\x1c-\x1f]"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 # Marks that end a sentence, optionally followed by a closing quote or bracket.
 SENTENCE_END = r"""[.?!…]["')\]]?$"""
 # Headers that carry no content of their own.
@@ -39,7 +42,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(text: Column | str) -> Column:
     """Trim white space of every kind, not only blanks."""
-    return F.regexp_replace(_col(text), f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(_col(text), F.lit(WHITE_SPACE))
 
 
 def blank_to_null(text: Column | str) -> Column:
@@ -49,7 +52,7 @@ def blank_to_null(text: Column | str) -> Column:
 def clean_html(text: Column | str) -> Column:
     """Drop tags, collapse white space to single blanks, trim."""
     bare = F.regexp_replace(_col(text), "<[^>]+>", "")
-    return F.trim(F.regexp_replace(bare, f"(?U){_SPACE}+", " "))
+    return F.trim(F.regexp_replace(bare, f"[{WHITE_SPACE}]+", " "))
 
 
 def clean_jats(text: Column | str) -> Column:
@@ -71,7 +74,9 @@ def normalize_doi(doi: Column | str) -> Column:
 def ensure_punctuated(text: Column | str) -> Column:
     """Trimmed text, closed with a full stop unless it already ends a sentence; blank stays blank."""
     bare = strip(text)
-    return F.when((bare == "") | bare.rlike(SENTENCE_END), bare).otherwise(F.concat(bare, F.lit(".")))
+    # The pattern can only match the last two characters.
+    closed = F.right(bare, F.lit(2)).rlike(SENTENCE_END)
+    return F.when((bare == "") | closed, bare).otherwise(F.concat(bare, F.lit(".")))
 
 
 def valid_header(text: Column | str) -> Column:
@@ -224,6 +229,11 @@ def prompt_text(text: Column | str, topic: Column | str | None = None, template:
     return fill_template(template or WRITE_PROMPT, text=text, topic=topic)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once per row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column | str) -> Column:
     """Lower-case word tokens of two or more characters."""
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
@@ -236,12 +246,29 @@ def token_features(text: Column | str, stop_words: Sequence[str] = (), bigrams:
         kept = F.filter(kept, lambda w: ~w.isin(*stop_words))
     if not bigrams:
         return kept
-    pairs = F.zip_with(
-        F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))),
-        F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))),
-        lambda a, b: F.concat_ws(" ", a, b),
-    )
-    return F.concat(kept, pairs)
+
+    def with_pairs(k: Column) -> Column:
+        rest = F.greatest(F.size(k) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(k, 1, rest), F.slice(k, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(k, pairs)
+
+    return let(kept, with_pairs)
+
+
+def count_terms(tokens: Column) -> Column:
+    """`array<struct<term, tf>>` of a token array: sorted, then cut where the term changes."""
+    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
+
+    def cut(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+        def measure(st: Column) -> Column:
+            ends = F.concat(F.slice(st, F.lit(2), F.size(st)), F.array(F.size(s)))
+            return F.zip_with(st, ends, lambda a, b: F.struct(F.get(s, a).alias("term"), (b - a).cast("bigint").alias("tf")))
+
+        return F.when(F.size(s) == 0, empty).otherwise(let(starts, measure))
+
+    return let(F.sort_array(tokens), cut)
 
 
 def category_name(metric: Column | str, prefixes: Sequence[str]) -> Column:

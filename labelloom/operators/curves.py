@@ -26,36 +26,43 @@ def ranked_counts(scored: DataFrame, by: Sequence[str], y: str = "y", score: str
     at = scored.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(F.col(y).cast("bigint")).alias("tp_at"), F.count(F.lit(1)).alias("n_at")
     )
-    running = running_aggregates(at, by, "score", {"tp": ("sum", "tp_at"), "n": ("sum", "n_at")}, descending=True)
-    sizes = running.groupBy(*by).agg(F.sum("tp_at").alias("pos"), F.sum("n_at").alias("total"))
-    return running.join(sizes, by)
+    return running_aggregates(
+        at,
+        by,
+        "score",
+        {"tp": ("sum", "tp_at"), "n": ("sum", "n_at")},
+        descending=True,
+        totals={"pos": ("sum", "tp_at"), "total": ("sum", "n_at")},
+    )
 
 
 def _d(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("double")
 
 
-def roc_auc(ranked: DataFrame, by: Sequence[str], single_class: float | None = 0.0) -> DataFrame:
-    """Area under the ROC curve by trapezoids over tie groups; `single_class` where it is undefined."""
+def auc_and_ap(ranked: DataFrame, by: Sequence[str], single_class: float | None = 0.0) -> DataFrame:
+    """`(by..., pos, total, roc_auc, ap)` in one aggregate.
+
+    ROC-AUC is the trapezoid sum over tie groups, `single_class` where it is undefined; average
+    precision is the sum of precision times recall step, 0 without positives.
+    """
     fp_at = _d("n_at") - _d("tp_at")
-    doubled = fp_at * (2.0 * _d("tp") - _d("tp_at"))
+    area = fp_at * (2.0 * _d("tp") - _d("tp_at"))
+    step = F.try_divide(_d("tp_at") * _d("tp"), _d("pos") * _d("n"))
     sums = ranked.groupBy(*by).agg(
-        F.sum(doubled).alias("__area2"), F.max("pos").alias("pos"), F.max("total").alias("total")
+        F.max("pos").alias("pos"), F.max("total").alias("total"), F.sum(area).alias("__area2"), F.sum(step).alias("__ap")
     )
     cells = 2.0 * _d("pos") * (_d("total") - _d("pos"))
-    return sums.select(
-        *by, "pos", "total", F.coalesce(F.try_divide("__area2", cells), F.lit(single_class).cast("double")).alias("roc_auc")
-    )
+    auc = F.coalesce(F.try_divide("__area2", cells), F.lit(single_class).cast("double"))
+    return sums.select(*by, "pos", "total", auc.alias("roc_auc"), F.coalesce("__ap", F.lit(0.0)).alias("ap"))
+
+
+def roc_auc(ranked: DataFrame, by: Sequence[str], single_class: float | None = 0.0) -> DataFrame:
+    return auc_and_ap(ranked, by, single_class).drop("ap")
 
 
 def average_precision(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Sum of precision times recall step over tie groups; 0 without positives."""
-    step = F.try_divide(_d("tp_at") * _d("tp"), _d("pos") * _d("n"))
-    return ranked.groupBy(*by).agg(
-        F.max("pos").alias("pos"),
-        F.max("total").alias("total"),
-        F.coalesce(F.sum(step), F.lit(0.0)).alias("ap"),
-    )
+    return auc_and_ap(ranked, by).drop("roc_auc")
 
 
 def rank_averages(per_label: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -169,8 +176,8 @@ def pr_curve(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
     return points.unionByName(end)
 
 
-def _threshold_value(metric: str) -> Column:
-    tp, n, pos, total = (_d(c) for c in ("tp", "n", "pos", "total"))
+def _threshold_value(metric: str, tp: Column, n: Column) -> Column:
+    pos, total = _d("pos"), _d("total")
     fp, fn = n - tp, pos - tp
     tn = total - n - fn
     if metric == "f1":
@@ -188,18 +195,38 @@ def _threshold_value(metric: str) -> Column:
     return F.coalesce(value, F.lit(0.0))
 
 
-def optimal_threshold(ranked: DataFrame, by: Sequence[str], metric: str = "f1") -> DataFrame:
-    """Per group the score cut (`score >= threshold`) with the best metric; ties take the highest.
+def optimal_thresholds(ranked: DataFrame, by: Sequence[str], metrics: Sequence[str] = ("f1",)) -> DataFrame:
+    """Long `(by..., metric, threshold, value)`: the score cut (`score >= threshold`) with the best value.
 
-    Every distinct score is a candidate, and so is an infinite one that predicts nothing. One
-    aggregate over the running counts replaces a metric evaluation per candidate.
+    Every distinct score is a candidate, and so is an infinite one that predicts nothing; ties take
+    the highest cut. One aggregate over the running counts serves all metrics, where a search would
+    evaluate each metric at each candidate.
     """
     by = list(by)
-    candidates = _with_origin(ranked, by).select(
-        *by, F.struct(_threshold_value(metric).alias("value"), F.col("score").alias("threshold")).alias("__best")
+
+    def candidate(metric: str, score: Column, tp: Column, n: Column) -> Column:
+        return F.struct(_threshold_value(metric, tp, n).alias("value"), score.alias("threshold"))
+
+    best = ranked.groupBy(*by).agg(
+        F.max("pos").alias("pos"),
+        F.max("total").alias("total"),
+        *[F.max(candidate(m, _d("score"), _d("tp"), _d("n"))).alias(f"__{m}") for m in metrics],
     )
-    best = candidates.groupBy(*by).agg(F.max("__best").alias("__best"))
-    return best.select(*by, F.col("__best.threshold").alias("threshold"), F.col("__best.value").alias(metric))
+    zero, infinite = F.lit(0.0), F.lit(float("inf"))
+    rows = F.array(
+        *[
+            F.struct(F.lit(m).alias("metric"), F.greatest(F.col(f"__{m}"), candidate(m, infinite, zero, zero)).alias("best"))
+            for m in metrics
+        ]
+    )
+    return best.select(*by, F.inline(rows)).select(
+        *by, "metric", F.col("best.threshold").alias("threshold"), F.col("best.value").alias("value")
+    )
+
+
+def optimal_threshold(ranked: DataFrame, by: Sequence[str], metric: str = "f1") -> DataFrame:
+    """`(by..., threshold, <metric>)` of one metric."""
+    return optimal_thresholds(ranked, by, [metric]).select(*by, "threshold", F.col("value").alias(metric))
 
 
 def pooled_auc(scored: DataFrame, model: str = "model", label: str = "label", top: int = 10) -> DataFrame:

@@ -55,8 +55,6 @@ def metric_per_fold(scored: DataFrame, model: str = "model", fold: str = "fold",
     """F1, ROC-AUC and AP per model and fold, mean over the labels."""
     by = [model, fold, label]
     f1 = metrics.prf_per_label(metrics.confusion_counts(scored, by)).select(*by, "f1")
-    ranked = curves.ranked_counts(scored, by)
-    auc = curves.roc_auc(ranked, by, single_class=0.5).select(*by, "roc_auc")
-    ap = curves.average_precision(ranked, by).select(*by, "ap")
-    joined = f1.join(auc, by).join(ap, by)
+    ranking = curves.auc_and_ap(curves.ranked_counts(scored, by), by, single_class=0.5)
+    joined = f1.join(ranking, by)
     return joined.groupBy(model, fold).agg(*[F.avg(m).alias(m) for m in ("f1", "roc_auc", "ap")])

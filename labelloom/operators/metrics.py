@@ -113,10 +113,8 @@ def subset_accuracy(df: DataFrame, by: Sequence[str], row_key: str, y: str = "y"
 def rank_metrics(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     """ROC-AUC, average precision and NDCG per group from one table of ranked counts."""
     ranked = curves.ranked_counts(scored, by)
-    auc = curves.roc_auc(ranked, by).drop("pos", "total")
-    ap = curves.average_precision(ranked, by)
     gain = curves.ndcg(ranked, by).drop("pos", "total")
-    return ap.join(auc, list(by)).join(gain, list(by))
+    return curves.auc_and_ap(ranked, by).join(gain, list(by))
 
 
 def detailed_metrics(scored: DataFrame, by: Sequence[str], row_key: str, label: str = "label") -> DataFrame:
@@ -136,9 +134,9 @@ def detailed_metrics(scored: DataFrame, by: Sequence[str], row_key: str, label:
         "metric",
         "value",
     )
-    micro = curves.ranked_counts(scored, by)
-    micro_auc = curves.roc_auc(micro, by).select(*by, F.col("roc_auc").alias("roc_auc_micro"))
-    micro_ap = curves.average_precision(micro, by).select(*by, F.col("ap").alias("ap_micro"))
+    micro = curves.auc_and_ap(curves.ranked_counts(scored, by), by).select(
+        *by, F.col("roc_auc").alias("roc_auc_micro"), F.col("ap").alias("ap_micro")
+    )
     support = label_rows.withColumn("pos", F.col("support"))
     n_labels = label_rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__labels"))
     averages = (
@@ -147,8 +145,7 @@ def detailed_metrics(scored: DataFrame, by: Sequence[str], row_key: str, label:
         .join(curves.rank_averages(support, by, "roc_auc"), by)
         .join(curves.rank_averages(support, by, "ap"), by)
         .join(label_rows.groupBy(*by).agg(F.avg("ndcg").alias("ndcg_macro")), by)
-        .join(micro_auc, by)
-        .join(micro_ap, by)
+        .join(micro, by)
         .join(n_labels.where("__labels > 1").drop("__labels"), by, "left_semi")
     )
     names = [c for c in averages.columns if c not in by]

@@ -59,26 +59,30 @@ def running_aggregates(
     order: Sequence[str] | str,
     aggregates: Mapping[str, tuple[str, str]],
     descending: bool = False,
+    totals: Mapping[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Running sum/max/min (including the current row) of `{out: (op, column)}` inside each group.
 
     Rows are range-partitioned on (group, order), so a large group spans as many partitions as it
-    needs. The partition number is pinned by a checkpoint before it is used in two branches.
+    needs. The partition number is pinned by a checkpoint before it is used in two branches. Totals
+    of the whole group come from the same small table as the offsets.
     """
     groups = list(groups)
+    totals = dict(totals or {})
     order = [order] if isinstance(order, str) else list(order)
     direction = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     ranged = df.repartitionByRange(*[F.col(g) for g in groups], *direction)
     staged = cut_lineage(ranged.withColumn("__piece", F.spark_partition_id()))
 
     piece = [*groups, "__piece"]
-    before = Window.partitionBy(*groups).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    totals = staged.groupBy(*piece).agg(
-        *[_COMBINE[op](column).alias(f"__t_{out}") for out, (op, column) in aggregates.items()]
+    whole = Window.partitionBy(*groups)
+    before = whole.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = {**{f"__o_{o}": (spec, before) for o, spec in aggregates.items()}, **{o: (spec, whole) for o, spec in totals.items()}}
+    per_piece = staged.groupBy(*piece).agg(
+        *[_COMBINE[op](column).alias(f"__t_{out}") for out, ((op, column), _) in wanted.items()]
     )
-    offsets = totals.select(
-        *piece,
-        *[_COMBINE[op](f"__t_{out}").over(before).alias(f"__o_{out}") for out, (op, _) in aggregates.items()],
+    offsets = per_piece.select(
+        *piece, *[_COMBINE[op](f"__t_{out}").over(frame).alias(out) for out, ((op, _), frame) in wanted.items()]
     )
     upto = (
         Window.partitionBy(*piece).orderBy(*direction).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -88,9 +92,8 @@ def running_aggregates(
         *[_COMBINE[op](column).over(upto).alias(f"__l_{out}") for out, (op, column) in aggregates.items()],
     )
     joined = local.join(offsets, piece)
-    for out, (op, _) in aggregates.items():
-        joined = joined.withColumn(out, _merge(op, F.col(f"__o_{out}"), F.col(f"__l_{out}")))
-    return joined.select(*df.columns, *aggregates)
+    merged = [_merge(op, F.col(f"__o_{out}"), F.col(f"__l_{out}")).alias(out) for out, (op, _) in aggregates.items()]
+    return joined.select(*df.columns, *merged, *totals)
 
 
 def _merge(op: str, offset: Column, local: Column) -> Column:
@@ -100,9 +103,9 @@ def _merge(op: str, offset: Column, local: Column) -> Column:
 
 
 def value_counts_running(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Distinct values of each group with their count `n` and the running count `n_upto`."""
+    """Distinct values of each group with their count `n`, the running count `n_upto` and the group `size`."""
     counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    return running_aggregates(counts, groups, value, {"n_upto": ("sum", "n")})
+    return running_aggregates(counts, groups, value, {"n_upto": ("sum", "n")}, totals={"size": ("sum", "n")})
 
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
@@ -114,16 +117,14 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, quantiles:
     if not groups:
         return exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, quantiles).drop("__all")
     counted = value_counts_running(df.where(F.col(value).isNotNull()), groups, value)
-    sizes = counted.groupBy(*groups).agg(F.sum("n").alias("__size"))
-    ranked = counted.join(sizes, groups)
     aggs = []
     for name, q in quantiles.items():
-        rank = (F.col("__size") - 1) * F.lit(float(q))
+        rank = (F.col("size") - 1) * F.lit(float(q))
         for side, target in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
             holds = (F.col("n_upto") - F.col("n") <= target) & (target < F.col("n_upto"))
             aggs.append(F.max(F.when(holds, F.col(value))).alias(f"__{side}_{name}"))
         aggs.append(F.max(rank - F.floor(rank)).alias(f"__f_{name}"))
-    picked = ranked.groupBy(*groups).agg(F.max("__size").alias("n"), *aggs)
+    picked = counted.groupBy(*groups).agg(F.max("size").alias("n"), *aggs)
     return picked.select(
         *groups,
         "n",

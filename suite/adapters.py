@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelloom.sources.readers import spread
+
 LABELS = ("quality", "toxic")
 MODELS = (("alpha", 7919), ("beta", 6271), ("gamma", 3571))
 
@@ -16,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """A text table for heavy per-row work: the given files hold a single row group."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def pubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One publication per document: doi, title, abstract, item type, year text and two labels."""
     docs = table(spark, sf_dir, "documents")
@@ -48,7 +55,7 @@ PUBS = r"""pubs AS (
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Background corpus: every document, with a DOI as URL."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select(
         F.concat(F.lit("https://openalex.org/W"), "doc_id").alias("id"),
         F.concat(F.lit("https://doi.org/10.5555/"), "source", F.lit("."), "n_chars").alias("doi"),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import text
 from labelloom.functions.vectors import cosine_similarity, paraphrase_gate
 from labelloom.operators import corpus as ops
-from suite.adapters import CORPUS, LABELS, POSITIVES, PUBS, corpus, positives, pubs, table, with_
+from suite.adapters import CORPUS, LABELS, POSITIVES, PUBS, corpus, positives, pubs, table, texts, with_
 from suite.registry import query, rounded
 
 # The SQL engine's \s is ASCII only, so white space is spelled out.
@@ -27,7 +27,7 @@ def clean_sql(x):
 
 @query("clean_html", f"SELECT page_id, {clean_sql('html')} AS clean FROM pages")
 def _(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.clean_html("html").alias("clean"))
+    return texts(spark, sf, "pages", "page_id").select("page_id", text.clean_html("html").alias("clean"))
 
 
 @query(
@@ -74,7 +74,7 @@ def _(spark, sf):
 
 def _sections(spark, sf):
     """Two sections per document: its own lines as contents, tags by line length."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     lines = F.transform(
         F.split("text", "\n"),
         lambda x: F.struct(

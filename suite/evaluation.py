@@ -447,13 +447,7 @@ def _all_thresholds():
 @query("optimal_threshold", _all_thresholds())
 def _(spark, sf):
     by = ["fold", "label"]
-    ranked = curves.ranked_counts(scored(spark, sf), by)
-    result = None
-    for metric in curves.THRESHOLD_METRICS:
-        one = curves.optimal_threshold(ranked, by, metric).select(
-            F.lit(metric).alias("metric"), *by, "threshold", F.col(metric).alias("value")
-        )
-        result = one if result is None else result.unionByName(one)
+    result = curves.optimal_thresholds(curves.ranked_counts(scored(spark, sf), by), by, curves.THRESHOLD_METRICS)
     finite = F.when(F.col("threshold") == float("inf"), F.col("threshold")).otherwise(F.round("threshold", 8))
     return rounded(result.withColumn("threshold", finite), "value")
 

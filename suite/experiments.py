@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from labelloom.operators import corpus, curves, ensemble, metrics, runs, stats, terms, trials
 from suite import adapters as A
-from suite.adapters import FOLD_RUNS, LABELS, RUNS, SCORED, SCORED_MODELS, TRIALS, table, with_
+from suite.adapters import FOLD_RUNS, LABELS, RUNS, SCORED, SCORED_MODELS, TRIALS, table, texts, with_
 from suite.evaluation import AP, AUC, F1, ranked_sql
 from suite.registry import query, r8, rounded
 
@@ -420,12 +420,12 @@ VOCAB = """vocab AS (SELECT term, df, ln((1 + (SELECT count(*) FROM documents))
 
 @query("token_features", with_(TOKENS, COUNTS) + "SELECT doc_id, term, tf FROM counts")
 def _(spark, sf):
-    return terms.term_counts(table(spark, sf, "documents"), "doc_id", "text", STOP_WORDS)
+    return terms.term_counts(texts(spark, sf), "doc_id", "text", STOP_WORDS)
 
 
 @query("tfidf_vocabulary", with_(TOKENS, COUNTS, VOCAB) + "SELECT term, df, round(idf, 8) AS idf FROM vocab")
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     vocabulary = terms.fit_vocabulary(terms.term_counts(docs, "doc_id", "text", STOP_WORDS), docs, 2000)
     return rounded(vocabulary.select("term", "df", "idf"), "idf")
 
@@ -437,11 +437,11 @@ def _(spark, sf):
     SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 8) AS weight FROM w""",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     counts = terms.term_counts(docs, "doc_id", "text", STOP_WORDS)
     return rounded(terms.tfidf(counts, terms.fit_vocabulary(counts, docs, 2000), "doc_id"), "weight")
 
 
 @query("max_sequence_length", r"SELECT CAST(max(len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'))) AS INTEGER) AS max_tokens FROM documents")
 def _(spark, sf):
-    return terms.max_sequence_length(table(spark, sf, "documents"), "text")
+    return terms.max_sequence_length(texts(spark, sf), "text")

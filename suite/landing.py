@@ -8,7 +8,7 @@ from labelloom.operators import folds
 from labelloom.session import staging_path
 from labelloom.sources import readers, records, writers
 from suite.adapters import (
-    CORPUS, LABELS, POSITIVES, PUBS, SCORED, SCORED_MODELS, corpus, positives, pubs, scored, scored_models, table, with_,
+    CORPUS, LABELS, POSITIVES, PUBS, SCORED, SCORED_MODELS, corpus, positives, pubs, scored, scored_models, table, texts, with_,
 )
 from suite.corpus_build import METADATA, _metadata, strip_sql
 from suite.evaluation import FOLDS
@@ -235,7 +235,7 @@ def api_records(spark, sf):
             F.struct(F.lit(None).cast("string").alias("given"), F.lit("Group").alias("family")),
         ).alias("author"),
     )
-    return table(spark, sf, "documents").select("doc_id", F.to_json(F.struct(message.alias("message"))).alias("payload"))
+    return texts(spark, sf).select("doc_id", F.to_json(F.struct(message.alias("message"))).alias("payload"))
 
 
 @query(
