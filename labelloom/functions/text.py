@@ -12,6 +12,8 @@ WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+# The same set for patterns.
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # Marks that end a sentence, optionally followed by a closing quote or bracket.
 SENTENCE_END = r"""[.?!…]["')\]]?$"""
 # Headers that carry no content of their own.
@@ -52,7 +54,7 @@ def blank_to_null(text: Column | str) -> Column:
 def clean_html(text: Column | str) -> Column:
     """Drop tags, collapse white space to single blanks, trim."""
     bare = F.regexp_replace(_col(text), "<[^>]+>", "")
-    return F.trim(F.regexp_replace(bare, f"[{WHITE_SPACE}]+", " "))
+    return F.trim(F.regexp_replace(bare, f"{_SPACE}+", " "))
 
 
 def clean_jats(text: Column | str) -> Column:

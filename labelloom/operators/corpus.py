@@ -141,9 +141,10 @@ def doi_suffix_semi_join(
 
 def delete_conflicts(corpus: DataFrame, positives: DataFrame, key: str = "id") -> DataFrame:
     """Corpus rows that are no positive by abstract, title or DOI suffix, in the common shape."""
-    pairs = {"ab": "Abstract Note", "display_name": "Title"}
-    kept = anti_join_positives(corpus, positives, pairs)
-    kept = doi_suffix_anti_join(kept, positives, key, "doi", "DOI")
+    # DOIs are matched first, on the raw corpus, so that this match reads two columns only; all the
+    # anti-joins then run in one pass over the texts.
+    kept = doi_suffix_anti_join(corpus, positives, key, "doi", "DOI")
+    kept = anti_join_positives(kept, positives, {"ab": "Abstract Note", "display_name": "Title"})
     return rename_negatives(kept)
 
 

@@ -65,21 +65,25 @@ def average_precision(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
     return auc_and_ap(ranked, by).drop("roc_auc")
 
 
-def rank_averages(per_label: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Macro mean, and mean weighted by the positives of each label."""
-    weighted = F.try_divide(F.sum(_d("pos") * F.col(value)), F.sum(_d("pos")))
-    return per_label.groupBy(*by).agg(
-        F.avg(value).alias(f"{value}_macro"), F.coalesce(weighted, F.lit(0.0)).alias(f"{value}_weighted")
-    )
+def rank_averages(per_label: DataFrame, by: Sequence[str], *values: str) -> DataFrame:
+    """Macro mean, and mean weighted by the positives of each label, of every value column."""
+    aggs = []
+    for value in values:
+        weighted = F.try_divide(F.sum(_d("pos") * F.col(value)), F.sum(_d("pos")))
+        aggs += [F.avg(value).alias(f"{value}_macro"), F.coalesce(weighted, F.lit(0.0)).alias(f"{value}_weighted")]
+    return per_label.groupBy(*by).agg(*aggs)
 
 
-def ndcg(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
+def ndcg(ranked: DataFrame, by: Sequence[str], sizes: DataFrame | None = None) -> DataFrame:
     """NDCG of the whole ranking per group, gain = label, discounts averaged inside tie groups.
 
     The discounts of a rank interval are summed in chunks of fixed length that are spread over the
     cluster, so neither a huge tie group nor a huge ideal ranking is expanded inside one row.
+    `sizes(by..., pos, total)` saves a pass if the caller has it.
     """
     by = list(by)
+    if sizes is None:
+        sizes = ranked.groupBy(*by).agg(F.max("pos").alias("pos"), F.max("total").alias("total"))
     actual = ranked.where("tp_at > 0").select(
         *by,
         F.lit("dcg").alias("__part"),
@@ -87,11 +91,12 @@ def ndcg(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
         F.col("n").alias("__to"),
         (_d("tp_at") / _d("n_at")).alias("__gain"),
     )
-    ideal = (
-        ranked.groupBy(*by)
-        .agg(F.max("pos").alias("__to"))
-        .where("__to > 0")
-        .select(*by, F.lit("ideal").alias("__part"), F.lit(1).cast("bigint").alias("__from"), "__to", F.lit(1.0).alias("__gain"))
+    ideal = sizes.where("pos > 0").select(
+        *by,
+        F.lit("ideal").alias("__part"),
+        F.lit(1).cast("bigint").alias("__from"),
+        F.col("pos").alias("__to"),
+        F.lit(1.0).alias("__gain"),
     )
     size = _RANKS_PER_CHUNK
     chunks = (
@@ -107,9 +112,8 @@ def ndcg(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
         F.sum(F.when(F.col("__part") == "dcg", F.col("__gain") * discounts)).alias("__dcg"),
         F.sum(F.when(F.col("__part") == "ideal", discounts)).alias("__ideal"),
     )
-    groups = ranked.groupBy(*by).agg(F.max("pos").alias("pos"), F.max("total").alias("total"))
     value = F.coalesce(F.try_divide("__dcg", "__ideal"), F.lit(0.0))
-    return groups.join(parts, by, "left").select(*by, "pos", "total", value.alias("ndcg"))
+    return sizes.join(parts, by, "left").select(*by, "pos", "total", value.alias("ndcg"))
 
 
 def roc_curve(ranked: DataFrame, by: Sequence[str], drop_collinear: bool = False) -> DataFrame:

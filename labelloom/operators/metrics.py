@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.operators import curves
-from labelloom.session import broadcast_if_small
+from labelloom.session import broadcast_if_small, cut_lineage
 
 COUNTS = ("tn", "fp", "fn", "tp")
 
@@ -113,8 +113,9 @@ def subset_accuracy(df: DataFrame, by: Sequence[str], row_key: str, y: str = "y"
 def rank_metrics(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     """ROC-AUC, average precision and NDCG per group from one table of ranked counts."""
     ranked = curves.ranked_counts(scored, by)
-    gain = curves.ndcg(ranked, by).drop("pos", "total")
-    return curves.auc_and_ap(ranked, by).join(gain, list(by))
+    areas = cut_lineage(curves.auc_and_ap(ranked, by))
+    gain = curves.ndcg(ranked, by, areas).drop("pos", "total")
+    return areas.join(gain, list(by))
 
 
 def detailed_metrics(scored: DataFrame, by: Sequence[str], row_key: str, label: str = "label") -> DataFrame:
@@ -125,9 +126,9 @@ def detailed_metrics(scored: DataFrame, by: Sequence[str], row_key: str, label:
     """
     by = list(by)
     per = [*by, label]
-    counts = confusion_counts(scored, per)
-    label_rows = prf_per_label(counts).withColumns({"accuracy": accuracy(), "mcc": mcc()})
-    label_rows = label_rows.join(rank_metrics(scored, per).drop("pos", "total"), per)
+    counts = prf_per_label(confusion_counts(scored, per)).withColumns({"accuracy": accuracy(), "mcc": mcc()})
+    # One row per group and label; every later step reads these rows and not the scores again.
+    label_rows = cut_lineage(counts.join(rank_metrics(scored, per), per))
     long_labels = label_rows.unpivot(
         per,
         ["precision", "recall", "f1", "kappa", "accuracy", "mcc", "roc_auc", "ap", "ndcg"],
@@ -137,16 +138,14 @@ def detailed_metrics(scored: DataFrame, by: Sequence[str], row_key: str, label:
     micro = curves.auc_and_ap(curves.ranked_counts(scored, by), by).select(
         *by, F.col("roc_auc").alias("roc_auc_micro"), F.col("ap").alias("ap_micro")
     )
-    support = label_rows.withColumn("pos", F.col("support"))
-    n_labels = label_rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__labels"))
+    several = label_rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__labels")).where("__labels > 1")
     averages = (
-        prf_averages(counts, by)
-        .join(subset_accuracy(scored, by, row_key), by)
-        .join(curves.rank_averages(support, by, "roc_auc"), by)
-        .join(curves.rank_averages(support, by, "ap"), by)
+        prf_averages(label_rows.select(*per, *COUNTS), by)
+        .join(curves.rank_averages(label_rows, by, "roc_auc", "ap"), by)
         .join(label_rows.groupBy(*by).agg(F.avg("ndcg").alias("ndcg_macro")), by)
+        .join(subset_accuracy(scored, by, row_key), by)
         .join(micro, by)
-        .join(n_labels.where("__labels > 1").drop("__labels"), by, "left_semi")
+        .join(several, by, "left_semi")
     )
     names = [c for c in averages.columns if c not in by]
     long_averages = averages.unpivot(by, names, "metric", "value").withColumn(label, F.lit(None).cast("string"))
