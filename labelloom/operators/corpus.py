@@ -18,7 +18,7 @@ CORPUS_NAMES = {"display_name": "title", "ab": "abstract"}
 
 def text_key(text: Column | str) -> Column:
     """Content digest that stands for a long text in joins and groups, so texts are not shuffled."""
-    return F.sha2(F.col(text) if isinstance(text, str) else text, 256)
+    return F.unhex(F.sha2(F.col(text) if isinstance(text, str) else text, 256))
 
 
 def any_positive(labels: Sequence[str]) -> Column:
@@ -166,7 +166,7 @@ def enrich_metadata(df: DataFrame, metadata: DataFrame, doi: str = "doi") -> Dat
     `metadata(doi, title, abstract)` may hold several rows per DOI; the fullest, then smallest, is
     taken. `updated_fields` names what was filled.
     """
-    lacks = blank_to_null("title").isNull() | blank_to_null("abstract").isNull()
+    lacks = (blank_to_null("title").isNull() | blank_to_null("abstract").isNull()) & F.coalesce(normalize_doi(doi).isNotNull(), F.lit(False))
     open_rows = df.where(lacks).withColumn("__doi", normalize_doi(doi))
     found = (
         metadata.select(
@@ -186,7 +186,7 @@ def enrich_metadata(df: DataFrame, metadata: DataFrame, doi: str = "doi") -> Dat
     names = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in filled.items()]))
     columns = [F.when(filled[c], F.col(f"__found.{c}")).otherwise(F.col(c)).alias(c) if c in filled else F.col(c) for c in df.columns]
     completed = open_rows.join(found, "__doi", "left").select(*columns, names.alias("updated_fields"))
-    # Complete rows, nearly all of a corpus, pass without a shuffle.
+    # Complete rows, nearly all of a corpus, and rows without a DOI pass without a shuffle.
     untouched = df.where(~lacks).withColumn("updated_fields", F.array().cast("array<string>"))
     return untouched.unionByName(completed)
 
