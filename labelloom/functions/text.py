@@ -274,6 +274,6 @@ def count_terms(tokens: Column) -> Column:
 
 
 def category_name(metric: Column | str, prefixes: Sequence[str]) -> Column:
-    """Metric column name without its family prefix, e.g. `roc_auc_VA` -> `VA`."""
+    """Metric column name without its family prefix, e.g. `roc_auc_a` -> `a`."""
     pattern = "^(" + "|".join(prefixes) + ")"
     return F.regexp_replace(_col(metric), pattern, "")

@@ -139,13 +139,18 @@ def doi_suffix_semi_join(
     return corpus.join(matched, key, "left_semi")
 
 
-def delete_conflicts(corpus: DataFrame, positives: DataFrame, key: str = "id") -> DataFrame:
+def delete_conflicts(
+    corpus: DataFrame,
+    positives: DataFrame,
+    key: str = "id",
+    drop: Sequence[str] = ("id", "author", "author_abbr", "topics"),
+) -> DataFrame:
     """Corpus rows that are no positive by abstract, title or DOI suffix, in the common shape."""
     # DOIs are matched first, on the raw corpus, so that this match reads two columns only; all the
     # anti-joins then run in one pass over the texts.
     kept = doi_suffix_anti_join(corpus, positives, key, "doi", "DOI")
     kept = anti_join_positives(kept, positives, {"ab": "Abstract Note", "display_name": "Title"})
-    return rename_negatives(kept)
+    return rename_negatives(kept, drop)
 
 
 def label_membership(df: DataFrame, lists: DataFrame, labels: Sequence[str], doi: str = "doi", label: str = "label") -> DataFrame:
@@ -194,39 +199,37 @@ def enrich_metadata(df: DataFrame, metadata: DataFrame, doi: str = "doi") -> Dat
 # --- conflicts and duplicates ----------------------------------------------------------------------
 
 
-def conflict_texts(df: DataFrame, labels: Sequence[str], text: str = "abstract") -> DataFrame:
-    """Digests of texts that occur both with and without a positive label."""
-    positive = any_positive(labels)
+def _conflicting(marked: DataFrame) -> DataFrame:
+    """Digests that `marked(__t, __pos)` holds both with and without a positive label."""
     return (
-        df.where(F.col(text).isNotNull())
-        .select(text_key(text).alias("__text"), positive.cast("int").alias("__pos"))
-        .groupBy("__text")
+        marked.where("__t is not null")
+        .groupBy("__t")
         .agg(F.max("__pos").alias("__some"), F.min("__pos").alias("__all"))
-        .where("__some = 1 and __all = 0")
-        .select("__text")
+        .where("__some and not __all")
+        .select("__t")
     )
 
 
+def conflict_texts(df: DataFrame, labels: Sequence[str], text: str = "abstract") -> DataFrame:
+    """Digests `__t` of texts that occur both with and without a positive label."""
+    return _conflicting(df.select(text_key(text).alias("__t"), any_positive(labels).alias("__pos")))
+
+
 def conflict_semi(df: DataFrame, labels: Sequence[str], text: str = "abstract", keep: bool = True) -> DataFrame:
     """Rows whose text is in conflict (`keep=False`: the other rows)."""
     conflicts = broadcast_if_small(conflict_texts(df, labels, text))
-    return df.join(conflicts, text_key(F.col(text)) == conflicts["__text"], "left_semi" if keep else "left_anti")
+    return df.join(conflicts, text_key(F.col(text)) == conflicts["__t"], "left_semi" if keep else "left_anti")
 
 
-def dedup_text_doi(df: DataFrame, key: str, text: str = "abstract", doi: str = "doi") -> DataFrame:
-    """Greedy first-wins in key order: a row goes if a *kept* row has its text or its DOI.
+def _greedy_kept(keyed: DataFrame) -> DataFrame:
+    """Keys kept by the greedy scan over `keyed(__key, __t, __d)`.
 
-    Exact. In every round the rows that are first both in their text group and in their DOI group are
-    kept, and the rows that share either with a kept row are dropped; undecided rows go on. This is
-    the parallel form of the sequential scan and ends in a few rounds. Rounds work on (key, digest,
-    digest); texts are read once more for the survivors only.
+    In every round the rows that are first both in their text group and in their DOI group are kept,
+    and the rows that share either with a kept row are dropped; undecided rows go on.
     """
-    keyed = df.where(F.col(text).isNotNull() & F.col(doi).isNotNull()).select(
-        F.col(key).alias("__key"), text_key(text).alias("__t"), text_key(doi).alias("__d")
-    )
     # Copies with equal text and DOI can never outlive the first of them.
     open_rows = cut_lineage(keyed.groupBy("__t", "__d").agg(F.min("__key").alias("__key")))
-    kept_parts: list[DataFrame] = []
+    kept_parts = [open_rows.select("__key").limit(0)]
     while not open_rows.isEmpty():
         first_text = open_rows.groupBy("__t").agg(F.min(F.struct("__key", "__d")).alias("__m")).select(
             "__t", "__m.__key", "__m.__d"
@@ -236,10 +239,31 @@ def dedup_text_doi(df: DataFrame, key: str, text: str = "abstract", doi: str = "
         kept_parts.append(kept.select("__key"))
         rest = open_rows.join(kept.select("__t"), "__t", "left_anti").join(kept.select("__d"), "__d", "left_anti")
         open_rows = cut_lineage(rest)
-    if not kept_parts:
-        return df.limit(0)
-    kept_keys = reduce(DataFrame.unionByName, kept_parts)
-    return df.join(kept_keys, df[key] == kept_keys["__key"], "left_semi")
+    return reduce(DataFrame.unionByName, kept_parts)
+
+
+def _drop_others(df: DataFrame, key: str, keyed: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of `df` whose key is not among the dropped ones (`keyed` without `kept`).
+
+    Keys are compared without texts to find those to drop, usually the smaller set: while it is
+    small enough to broadcast, the wide rows are only filtered.
+    """
+    dropped = broadcast_if_small(keyed.select("__key").join(kept, "__key", "left_anti"))
+    return df.join(dropped, df[key] == dropped["__key"], "left_anti")
+
+
+def dedup_text_doi(df: DataFrame, key: str, text: str = "abstract", doi: str = "doi") -> DataFrame:
+    """Greedy first-wins in key order: a row goes if a *kept* row has its text or its DOI.
+
+    Exact: the rounds are the parallel form of the sequential scan, and few are needed. They work on
+    (key, digest, digest) and never move a text. Rows lacking text or DOI are dropped. Keys must be
+    unique.
+    """
+    complete = df.where(F.col(text).isNotNull() & F.col(doi).isNotNull())
+    keyed = cut_lineage(
+        complete.select(F.col(key).alias("__key"), text_key(text).alias("__t"), text_key(doi).alias("__d"))
+    )
+    return _drop_others(complete, key, keyed, _greedy_kept(keyed))
 
 
 def dedup_two_pass(df: DataFrame, key: str, text: str = "abstract", doi: str = "doi") -> DataFrame:
@@ -248,21 +272,40 @@ def dedup_two_pass(df: DataFrame, key: str, text: str = "abstract", doi: str = "
     Differs from the greedy scan where a row loses its DOI to a row that itself would have lost its
     text, so it may keep fewer rows.
     """
-    keyed = df.where(F.col(text).isNotNull() & F.col(doi).isNotNull()).select(
-        F.col(key).alias("__key"), text_key(text).alias("__t"), F.col(doi).alias("__d")
-    )
+    complete = df.where(F.col(text).isNotNull() & F.col(doi).isNotNull())
+    keyed = complete.select(F.col(key).alias("__key"), text_key(text).alias("__t"), F.col(doi).alias("__d"))
     per_text = keyed.groupBy("__t").agg(F.min(F.struct("__key", "__d")).alias("__m")).select("__m.*")
     survivors = per_text.groupBy("__d").agg(F.min("__key").alias("__key")).select("__key")
-    return df.join(survivors, df[key] == survivors["__key"], "left_semi")
+    return _drop_others(complete, key, keyed, survivors)
+
+
+def check_unique(df: DataFrame, key: str) -> None:
+    """Raises if a key occurs twice; the operators above identify rows by their key."""
+    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    if not repeated.isEmpty():
+        raise ValueError(f"{key} is not unique, drop full duplicates or choose another key")
 
 
 def clean_corpus(df: DataFrame, key: str, labels: Sequence[str], text: str = "abstract", doi: str = "doi") -> DataFrame:
-    """Complete rows without conflicts and without repeated texts or DOIs."""
-    complete = filter_complete(df, ("title", text, doi))
-    # A text is in conflict if any row of the input says so, complete or not.
-    conflicts = broadcast_if_small(conflict_texts(df, labels, text))
-    clean = complete.join(conflicts, text_key(F.col(text)) == conflicts["__text"], "left_anti")
-    return dedup_text_doi(clean, key, text, doi)
+    """Complete rows without conflicts and without repeated texts or DOIs.
+
+    The texts are read twice: once for a narrow table of keys, digests and flags, on which all
+    decisions are made, and once to filter the rows. A text is in conflict if any row of the input
+    says so, complete or not.
+    """
+    complete = F.col("title").isNotNull() & F.col(text).isNotNull() & F.col(doi).isNotNull()
+    narrow = cut_lineage(
+        df.select(
+            F.col(key).alias("__key"),
+            text_key(text).alias("__t"),
+            text_key(doi).alias("__d"),
+            any_positive(labels).alias("__pos"),
+            complete.alias("__complete"),
+        )
+    )
+    keyed = narrow.where("__complete").select("__key", "__t", "__d")
+    candidates = keyed.join(_conflicting(narrow), "__t", "left_anti")
+    return _drop_others(df.where(complete), key, keyed, _greedy_kept(candidates))
 
 
 # --- sampling --------------------------------------------------------------------------------------

@@ -109,7 +109,7 @@ def nemenyi_pairs(
     The critical difference is known for up to ten models; significance follows the p value.
     """
     ranks = mean_ranks(df, model, fold, value)
-    packed = ranks.agg(
+    packed = ranks.limit(MAX_MODELS + 1).agg(
         F.array_sort(F.collect_list(F.struct(F.col(model).alias("m"), F.col("mean_rank").alias("r")))).alias("__all"),
         F.max("n_folds").alias("n_folds"),
     )

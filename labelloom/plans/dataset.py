@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.operators import corpus, folds
-from labelloom.session import cut_lineage
+from labelloom.session import stage_table
 from labelloom.sources import writers
 
 
@@ -25,37 +25,37 @@ class BuildSettings:
 
 
 def unify(lists: DataFrame, background: DataFrame, labels: Sequence[str], item_type: str = "journalArticle") -> DataFrame:
-    """Curated rows and background rows in one set with a 0/1 column per label.
+    """Curated rows and background rows in one set with a 0/1 column per label and a `row_key`.
 
-    `lists` is the reader's output with a `label` column; `background` is in the common shape.
+    `lists` is the reader's output with a `label` column; `background` is in the common shape and
+    has its key. Curated rows, which come without one, are keyed by their content.
     """
     renamed = corpus.rename_positives(lists).withColumnsRenamed({"Item Type": "item_type", "Publication Year": "year"})
     articles = corpus.filter_doi_present(corpus.filter_item_type(renamed, item_type))
-    members = renamed.select("doi", "label")
     positives = corpus.drop_full_duplicates(articles.drop("label"))
-    joined = corpus.union_sets(positives, background)
-    return corpus.label_membership(joined, members, labels)
+    content = F.sha2(F.to_json(F.struct(*sorted(positives.columns))), 256)
+    keyed = positives.withColumn("row_key", F.concat(F.lit("list:"), content))
+    return corpus.label_membership(corpus.union_sets(keyed, background), renamed.select("doi", "label"), labels)
 
 
 def build_dataset(
     lists: DataFrame, raw_corpus: DataFrame, settings: BuildSettings, metadata: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(cleaned set with `row_key`, splits by `row_key`).
+    """(cleaned set with `row_key`, splits by `row_key`). Corpus ids must be unique.
 
-    The cleaned set is materialised once, as the folds, the splits and the sink all read it.
+    The cleaned set is staged as a table: the folds read its labels, the sink all of it.
     """
-    background = corpus.delete_conflicts(raw_corpus, lists)
+    corpus.check_unique(raw_corpus, "id")
     if metadata is not None:
-        filled = corpus.enrich_metadata(
-            lists.withColumnsRenamed({"DOI": "doi", "Title": "title", "Abstract Note": "abstract"}), metadata
-        )
-        lists = filled.drop("updated_fields").withColumnsRenamed({"doi": "DOI", "title": "Title", "abstract": "Abstract Note"})
-    unified = unify(lists, background, settings.labels, settings.item_type)
-    keyed = unified.withColumn("row_key", F.sha2(F.to_json(F.struct("doi", "title", "abstract", "item_type", "year")), 256))
-    clean = corpus.clean_corpus(keyed.dropDuplicates(["row_key"]), "row_key", settings.labels)
+        names = {"DOI": "doi", "Title": "title", "Abstract Note": "abstract"}
+        filled = corpus.enrich_metadata(lists.withColumnsRenamed(names), metadata).drop("updated_fields")
+        lists = filled.withColumnsRenamed({new: old for old, new in names.items()})
+    background = corpus.delete_conflicts(raw_corpus, lists, drop=("author", "author_abbr", "topics"))
+    unified = unify(lists, background.withColumnRenamed("id", "row_key"), settings.labels, settings.item_type)
+    clean = corpus.clean_corpus(unified, "row_key", settings.labels)
     if settings.balance_coeff is not None:
         clean = corpus.undersample_negatives(clean, "row_key", settings.labels, settings.balance_coeff, settings.seed)
-    clean = cut_lineage(clean)
+    clean = stage_table(clean, "cleaned")
     splits = folds.train_dev_test(
         clean, "row_key", settings.labels, settings.n_folds, settings.n_runs, settings.seed, settings.dev_percent
     )

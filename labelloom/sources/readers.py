@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POSITIVE_COLUMNS = ("DOI", "Title", "Abstract Note", "Language", "Item Type", "Publication Year")
-# fold_<fold>_<model>_<loss>[_with_title][_run-<run>]...
-PREDICTION_NAME = r"^fold_(\d+)_(.+?)_(BCE|focal)(_with_title)?(?:_run-(\d+))?.*\.csv$"
+# fold_<fold>_<model>_<loss>[_with_title][_run-<run>]...csv, a file or a directory of part files.
+PREDICTION_NAME = r"(?:^|[/=])fold_(\d+)_([^/]+?)_(BCE|focal)(_with_title)?(?:_run-(\d+))?[^/]*\.csv(?:/|$)"
 
 
 def _decoded(file_column: str) -> Column:
@@ -71,9 +71,12 @@ def scan_splits(spark: SparkSession, root: str, schema: T.StructType, processed:
 
 
 def scan_predictions(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
-    """Prediction files of all models and folds; model, loss, title flag, fold and run from the file name."""
+    """Prediction files of all models and folds; model, loss, title flag, fold and run from the file name.
+
+    Spark writes a directory of part files where other tools write one file; both are read.
+    """
     rows = spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("escape", '"').csv(pattern)
-    file = _decoded("_metadata.file_name")
+    file = _decoded("_metadata.file_path")
 
     def part(i: int):
         return F.regexp_extract(file, PREDICTION_NAME, i)

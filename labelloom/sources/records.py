@@ -13,9 +13,7 @@ RECORD_SCHEMA = (
     "author:array<struct<given:string, family:string>>>"
 )
 WORKS_SCHEMA = "results array<struct<id:string, doi:string, title:string, publication_year:int>>"
-ARTICLE_SET_SCHEMA = (
-    "sibils_article_set array<struct<_id:string, document:struct<pmcid:string, title:string, abstract:string>>>"
-)
+ARTICLES_TYPE = "array<struct<_id:string, document:struct<pmcid:string, title:string, abstract:string>>>"
 
 
 def _col(c: Column | str) -> Column:
@@ -53,9 +51,13 @@ def authors_concat(authors: Column | str) -> Column:
     )
 
 
-def parse_article_set(df: DataFrame, payload: str) -> DataFrame:
-    """One publication per article of a response; a response without articles gives none."""
-    articles = df.select(F.explode(F.from_json(_col(payload), ARTICLE_SET_SCHEMA)["sibils_article_set"]).alias("a"))
+def parse_article_set(df: DataFrame, payload: str, field: str = "article_set") -> DataFrame:
+    """One publication per article of a response; a response without articles gives none.
+
+    `field` is the name of the article array in the responses of the service in use.
+    """
+    response = F.from_json(_col(payload), f"`{field}` {ARTICLES_TYPE}")
+    articles = df.select(F.explode(response[field]).alias("a"))
     return articles.select(
         F.col("a._id").alias("pmid"),
         F.col("a.document.title").alias("title"),

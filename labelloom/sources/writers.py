@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_shards(df: DataFrame, path: str, shards: int | None = 4) -> None:
-    """A set number of files, or files of the advised size with `shards=None`."""
+def write_shards(df: DataFrame, path: str, shards: int | None = None) -> None:
+    """Files of the advised size, or a set number of them (four in small local sets)."""
     parts = df.repartition(shards) if shards else df.hint("rebalance")
     parts.write.mode("overwrite").parquet(path)
 

@@ -96,30 +96,12 @@ def _(spark, sf):
     root = staging_path(spark, "predictions")
     data = scored_models(spark, sf).select("doc_id", "label", "y", "score", "model", "fold")
     title = F.when(F.col("model") == "alpha", "_with_title").otherwise("")
-    name = F.concat(F.lit("fold_"), "fold", F.lit("_net-"), "model", F.lit("_BCE"), title, F.lit("_run-0"))
-    # Spark names part files itself; writing by name gives one directory per model and fold, whose
-    # files are then published under the directory's name.
+    name = F.concat(F.lit("fold_"), "fold", F.lit("_net-"), "model", F.lit("_BCE"), title, F.lit("_run-0.csv"))
     data.withColumn("name", name).drop("model", "fold").write.partitionBy("name").option("header", "true").csv(root)
-    _publish_part_files(spark, root)
     schema = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("label", T.StringType()), T.StructField("y", T.IntegerType()), T.StructField("score", T.DoubleType())]
     )
-    return readers.scan_predictions(spark, f"{root}-named/*.csv", schema)
-
-
-def _publish_part_files(spark, root):
-    """Copies `name=<n>/part-*` to `<root>-named/<n>.<i>.csv` through the Hadoop file system."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    source = jvm.org.apache.hadoop.fs.Path(root)
-    fs = source.getFileSystem(conf)
-    for folder in fs.listStatus(source):
-        title = folder.getPath().getName()
-        if not title.startswith("name="):
-            continue
-        for i, part in enumerate(p for p in fs.listStatus(folder.getPath()) if p.getPath().getName().startswith("part-")):
-            target = jvm.org.apache.hadoop.fs.Path(f"{root}-named/{title[5:]}.{i}.csv")
-            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, part.getPath(), fs, target, False, conf)
+    return readers.scan_predictions(spark, f"{root}/*", schema)
 
 
 # --- sinks -----------------------------------------------------------------------------------------
@@ -268,7 +250,7 @@ def _(spark, sf):
             F.col("text").alias("abstract"),
         ).alias("document"),
     )
-    responses = table(spark, sf, "documents").select(F.to_json(F.struct(F.array(article).alias("sibils_article_set"))).alias("payload"))
+    responses = table(spark, sf, "documents").select(F.to_json(F.struct(F.array(article).alias("article_set"))).alias("payload"))
     return records.parse_article_set(responses, "payload")
 
 

@@ -116,3 +116,24 @@ def test_cycle_sample(spark):
     got = corpus.cycle_sample(spark.range(7).withColumnRenamed("id", "k"), "k", 3).collect()
     assert sorted(r.sample_id for r in got) == list(range(21))
     assert all(len({r.k for r in got if r.sample_id % 7 == p}) == 1 for p in range(7))
+
+
+def test_clean_corpus_equals_the_scan(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(500):
+        text = None if rng.random() < 0.05 else f"t{rng.randrange(150)}"
+        doi = None if rng.random() < 0.05 else f"d{rng.randrange(200)}"
+        title = None if rng.random() < 0.05 else "x"
+        rows.append((i, title, text, doi, int(rng.random() < 0.15), int(rng.random() < 0.1)))
+    df = spark.createDataFrame(rows, "k long, title string, abstract string, doi string, a int, b int")
+    positive = {r[2] for r in rows if r[4] or r[5]}
+    negative = {r[2] for r in rows if not (r[4] or r[5])}
+    left = [(r[0], r[2], r[3]) for r in rows if None not in r[1:4] and not (r[2] in positive and r[2] in negative)]
+    assert sorted(r.k for r in corpus.clean_corpus(df.repartition(4), "k", ["a", "b"]).collect()) == sequential(left)
+
+
+def test_repeated_keys_are_reported(spark):
+    corpus.check_unique(spark.range(3), "id")
+    with pytest.raises(ValueError, match="not unique"):
+        corpus.check_unique(spark.createDataFrame([(1,), (1,)], "id int"), "id")

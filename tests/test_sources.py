@@ -97,3 +97,33 @@ def test_config_samples():
     assert all(0.5 <= c["a"] <= 2 and 1e-6 <= c["b"] <= 1e-1 for c in configs)
     with pytest.raises(ValueError):
         learning.sample_configs({"a": ("normal", 0, 1)}, 1)
+
+
+def test_prediction_files_and_directories(spark, tmp_path):
+    frame = pd.DataFrame({"k": [1, 2], "score": [0.5, 0.25]})
+    frame.to_csv(tmp_path / "fold_0_net-v1.1_BCE_with_title_run-3_opt_neg-500.csv", index=False)
+    frame.to_csv(tmp_path / "fold_4_net_focal.csv", index=False)
+    folder = tmp_path / "fold_2_a+b_BCE_run-1.csv"
+    spark.createDataFrame(frame).write.option("header", "true").csv(str(folder))
+    schema = spark.createDataFrame(frame).schema
+    got = readers.scan_predictions(spark, f"{tmp_path}/*", schema)
+    names = {(r.model, r.loss_type, r.with_title, r.fold, r.run) for r in got.collect()}
+    assert names == {("net-v1.1", "BCE", True, 0, 3), ("net", "focal", False, 4, None), ("a+b", "BCE", False, 2, 1)}
+    assert got.count() == 6
+
+
+def test_metrics_table_grows(spark):
+    path = staging_path(spark, "metrics")
+    writers.append_metrics(spark.createDataFrame([("m", 0.5)], "model string, f1 double"), path)
+    writers.append_metrics(spark.createDataFrame([("n", 0.6, 0.7)], "model string, f1 double, ap double"), path)
+    assert {tuple(r) for r in readers.read_metrics(spark, path).select("model", "f1", "ap").collect()} == {("m", 0.5, None), ("n", 0.6, 0.7)}
+
+
+def test_ensemble_of_cross_validation(spark):
+    rows = [(k, lab, split, 0, f, m, int((k + i) % 3 == 0), ((k + i) % 3 == 0) * 0.5 + ((k * 7 + j) % 10) / 20)
+            for k in range(60) for i, lab in enumerate("ab") for f in range(2) for j, m in enumerate(("u", "v"))
+            for split in [("dev" if k % 2 else "test")]]
+    df = spark.createDataFrame(rows, "k long, label string, split string, run int, fold int, model string, y int, score double")
+    result = learning.evaluate_with_ensemble(df.withColumn("pred", F.lit(0)), "k").collect()
+    assert {(r.model, r.fold) for r in result} == {(m, f) for m in ("u", "v", "Ensemble") for f in range(2)}
+    assert all(0.8 < r.f1_macro <= 1.0 for r in result)
