@@ -23,9 +23,9 @@ def texts(spark: SparkSession, sf_dir: str, name: str = "documents", key: str =
     return spread(table(spark, sf_dir, name), key)
 
 
-def pubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pubs(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """One publication per document: doi, title, abstract, item type, year text and two labels."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir) if heavy else table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id", "left").select(
         "doc_id",

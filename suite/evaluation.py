@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import losses
 from labelloom.operators import curves, folds, metrics
+from labelloom.session import cut_lineage
 from suite.adapters import (
     FOLD_RUNS, LABELS, PUBS, SCORED, SCORED_MODELS, fold_runs, pubs, scored, scored_models, table, with_,
 )
@@ -475,7 +476,8 @@ TRANSFER = (
 def threshold_transfer(spark, sf):
     """Thresholds tuned on the dev split of fold 0 and judged on its test split."""
     splits = _splits(spark, sf).where("run = 0 and fold = 0 and split <> 'train'").select("doc_id", "split")
-    data = scored(spark, sf).drop("pred", "fold").join(splits, "doc_id")
+    # Both the tuning and the judging read these narrow rows.
+    data = cut_lineage(scored(spark, sf).drop("pred", "fold").join(splits, "doc_id"))
     predicted = metrics.tuned_predictions(data, ["label"], F.col("split") == "dev")
     counts = metrics.confusion_counts(predicted, ["label", "threshold"])
     result = metrics.prf_per_label(counts).select("label", "threshold", "tn", "fp", "fn", "tp", "precision", "recall", "f1")
