@@ -6,7 +6,7 @@ from labelloom.functions import losses
 from labelloom.operators import curves, folds, metrics
 from labelloom.session import cut_lineage
 from suite.adapters import (
-    FOLD_RUNS, LABELS, PUBS, SCORED, SCORED_MODELS, fold_runs, pubs, scored, scored_models, table, with_,
+    LABELS, PUBS, SCORED, pubs, scored, scored_models, table, with_,
 )
 from suite.registry import query, r8, rounded
 
@@ -290,7 +290,7 @@ ranked AS (SELECT *, CAST(sum(tp_at) OVER ({on}ORDER BY score DESC) AS BIGINT) A
 
 
 AUC = "coalesce(sum((n_at - tp_at) * (2.0e0 * tp - tp_at)) / nullif(2.0e0 * max(pos) * (max(total) - max(pos)), 0), 0)"
-AP = "coalesce(sum(CAST(tp_at AS DOUBLE) * tp / (CAST(pos AS DOUBLE) * n)), 0)"
+AP = "coalesce(sum(CAST(tp_at AS DOUBLE) * tp / nullif(CAST(pos AS DOUBLE) * n, 0)), 0)"
 
 
 @query("roc_auc", with_(SCORED, ranked_sql("scored", ["fold", "label"])) + f"SELECT fold, label, {r8(AUC, 'roc_auc')} FROM ranked GROUP BY fold, label")

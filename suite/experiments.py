@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from labelloom.operators import corpus, curves, ensemble, metrics, runs, stats, terms, trials
+from labelloom.operators import corpus, curves, ensemble, runs, stats, terms, trials
 from suite import adapters as A
 from suite.adapters import FOLD_RUNS, LABELS, RUNS, SCORED, SCORED_MODELS, TRIALS, table, texts, with_
 from suite.evaluation import AP, AUC, F1, ranked_sql
