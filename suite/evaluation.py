@@ -289,7 +289,8 @@ ranked AS (SELECT *, CAST(sum(tp_at) OVER ({on}ORDER BY score DESC) AS BIGINT) A
        CAST(sum(tp_at) OVER ({on}) AS BIGINT) AS pos, CAST(sum(n_at) OVER ({on}) AS BIGINT) AS total FROM tied)"""
 
 
-AUC = "coalesce(sum((n_at - tp_at) * (2.0e0 * tp - tp_at)) / nullif(2.0e0 * max(pos) * (max(total) - max(pos)), 0), 0)"
+AUC_OR = "coalesce(sum((n_at - tp_at) * (2.0e0 * tp - tp_at)) / nullif(2.0e0 * max(pos) * (max(total) - max(pos)), 0), {})"
+AUC = AUC_OR.format("0")
 AP = "coalesce(sum(CAST(tp_at AS DOUBLE) * tp / nullif(CAST(pos AS DOUBLE) * n, 0)), 0)"
 
 

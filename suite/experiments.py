@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from labelloom.operators import corpus, curves, ensemble, runs, stats, terms, trials
 from suite import adapters as A
 from suite.adapters import FOLD_RUNS, LABELS, RUNS, SCORED, SCORED_MODELS, TRIALS, table, texts, with_
-from suite.evaluation import AP, AUC, F1, ranked_sql
+from suite.evaluation import AP, AUC_OR, F1, ranked_sql
 from suite.registry import query, r8, rounded
 
 # --- ensembles -------------------------------------------------------------------------------------
@@ -73,7 +73,7 @@ def _(spark, sf):
     + f""", counted AS (SELECT model, fold, label, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp, count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn,
         count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp FROM scored_models GROUP BY 1, 2, 3),
     f AS (SELECT model, fold, avg({F1}) AS f1 FROM counted GROUP BY 1, 2),
-    r AS (SELECT model, fold, label, {AUC} AS auc, {AP} AS ap FROM ranked GROUP BY 1, 2, 3),
+    r AS (SELECT model, fold, label, {AUC_OR.format("0.5e0")} AS auc, {AP} AS ap FROM ranked GROUP BY 1, 2, 3),
     g AS (SELECT model, fold, avg(auc) AS auc, avg(ap) AS ap FROM r GROUP BY 1, 2)
     SELECT f.model, f.fold, round(f1, 8) AS f1, round(auc, 8) AS roc_auc, round(ap, 8) AS ap FROM f JOIN g ON f.model = g.model AND f.fold = g.fold""",
 )
@@ -84,7 +84,7 @@ def _(spark, sf):
 @query(
     "pooled_auc",
     with_(SCORED_MODELS, ranked_sql("scored_models", ["model", "label"]))
-    + f"""SELECT model, round(avg(auc), 8) AS mean_auc, count(*) AS n_labels FROM (SELECT model, label, {AUC} AS auc FROM ranked GROUP BY 1, 2) GROUP BY model
+    + f"""SELECT model, round(avg(auc), 8) AS mean_auc, count(*) AS n_labels FROM (SELECT model, label, {AUC_OR.format("NULL")} AS auc FROM ranked GROUP BY 1, 2) WHERE auc IS NOT NULL GROUP BY model
     ORDER BY avg(auc) DESC LIMIT 10""",
 )
 def _(spark, sf):
