@@ -22,13 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int = -1) -> Iterator[pa.RecordBatch]:
-    """The batches cut into pieces of bounded rows and of bounded bytes in the text column (the last one)."""
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of bounded rows and of bounded bytes on average."""
     for batch in batches:
         start = 0
-        size = max(1, batch.num_rows)
-        bytes_each = max(1, batch.column(column).nbytes // size)
-        step = max(1, min(SLICE_ROWS, SLICE_BYTES // bytes_each))
+        step = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
         while start < batch.num_rows:
             yield batch.slice(start, step)
             start += step
@@ -101,14 +99,15 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
     )
 
 
-def numbered_slots(df: DataFrame, group: str, keys: Sequence[str], per_piece: int = 100_000, out: str = "slot") -> DataFrame:
+def numbered_slots(
+    df: DataFrame, group: str, keys: Sequence[str], rows: int, per_piece: int = 100_000, out: str = "slot"
+) -> DataFrame:
     """Gapless 0-based number of every row in its group; pieces by a hash of `keys`, offsets from piece counts.
 
-    A piece is a (group, hash) pair of about `per_piece` rows, so no task sorts a whole group. Equal rows
-    are interchangeable, hence ties do not matter.
+    A piece is a (group, hash) pair of `per_piece` of all `rows` at most on average, so no task sorts a whole
+    group. Equal rows are interchangeable, hence ties do not matter.
     """
-    # The count is of narrow staged rows.
-    pieces = pieces_for(df.count(), per_piece)
+    pieces = pieces_for(rows, per_piece)
     cut = df.withColumn("__piece", F.pmod(F.xxhash64(*keys), F.lit(pieces)))
     sizes = cut.groupBy(group, "__piece").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(group).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
