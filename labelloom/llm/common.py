@@ -22,11 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of bounded rows and of bounded bytes on average."""
     for batch in batches:
         start = 0
-        step = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
         while start < batch.num_rows:
             yield batch.slice(start, step)
             start += step
