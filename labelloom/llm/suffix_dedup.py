@@ -35,7 +35,7 @@ from labelloom.session import stage_table
 #: Bytes of a gram that is sampled and of the halves that a window's name is made of.
 GRAM, HALF = 20, 32
 #: Bytes of text to a slab of names, slabs at least, and bytes of text that a task decides on at a time.
-SLAB_BYTES, LEAST_SLABS, SLICE_BYTES = 32 << 20, 24, 3 << 20
+SLAB_BYTES, LEAST_SLABS, SLICE_BYTES = 24 << 20, 24, 1 << 20
 #: Packed bytes of spans up to which they are broadcast to the texts; beyond, both sides are shuffled.
 BROADCAST_BYTES = 48 << 20
 _FLAG = np.uint32(1 << 31)
