@@ -253,10 +253,11 @@ def similar_components(
     )
     more = _verified(expanded, texts, n, percent)
     links = links.union(more)
-    final = connected_components(links, "x", "y")
+    final = cut_lineage(connected_components(links, "x", "y"))
 
     keyed = rows.select("id", "n", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = keyed.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))
+    # staged, so that the join has two plain shuffles, which adaptive execution splits at a hot component
+    least = cut_lineage(keyed.where("n > 0").groupBy("component").agg(F.min("id").alias("least")))
     return keyed.join(least, "component", "left").select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),
