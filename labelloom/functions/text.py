@@ -87,6 +87,10 @@ def valid_header(text: Column | str) -> Column:
     return F.coalesce((lowered != "") & ~lowered.isin(*GENERIC_HEADERS), F.lit(False))
 
 
+# Fixed values of the assembled layout.
+BOX_MARK, FOOTNOTE_MARK = "Box:", "Footnotes:"
+
+
 def assemble_fulltext(sections: Column | str) -> Column:
     """One text from `array<struct<label,caption,title,contents:array<struct<tag,text>>>>`.
 
@@ -116,7 +120,7 @@ def assemble_fulltext(sections: Column | str) -> Column:
         return F.when(content["tag"] == "list-item", F.concat(F.lit("- "), text)).otherwise(text)
 
     def one(section: Column) -> Column:
-        box = F.when(F.lower(filled(section["label"])) == "box", F.array(F.lit("Box:"))).otherwise(nothing)
+        box = F.when(F.lower(filled(section["label"])) == "box", F.array(F.lit(BOX_MARK))).otherwise(nothing)
         parts = F.concat(
             box,
             header(section["label"], True),
@@ -133,7 +137,7 @@ def assemble_fulltext(sections: Column | str) -> Column:
             sections, lambda s: F.transform(F.filter(contents(s), is_note), lambda c: F.concat(F.lit("- "), ensure_punctuated(c["text"])))
         )
     )
-    tail = F.when(F.size(notes) > 0, F.concat(F.lit("\n\nFootnotes:\n"), F.array_join(notes, "\n"))).otherwise("")
+    tail = F.when(F.size(notes) > 0, F.concat(F.lit(f"\n\n{FOOTNOTE_MARK}\n"), F.array_join(notes, "\n"))).otherwise("")
     return F.concat(main, tail)
 
 
@@ -181,15 +185,25 @@ def model_family(model: Column | str) -> Column:
     return chain.otherwise("Other")
 
 
-def model_abbreviation(model: Column | str) -> Column:
-    """Family with marks for loss, title and added negatives; an attribute, never a key."""
-    model = _col(model)
-    loss = F.when(model.contains("BCE"), " +BCE").when(model.contains("focal"), " +FL").otherwise("")
-    title = F.when(model.contains("with_title"), " +T").otherwise("")
-    negatives = (
-        F.when(model.contains("opt_neg-1000"), " (N1k)").when(model.contains("opt_neg-500"), " (N500)").otherwise("")
-    )
-    return F.concat(model_family(model), loss, title, negatives)
+# Marks that result tables put behind a family, by what a run's name holds. Of the rows of one
+# kind the first that fits counts.
+RUN_MARKS = (
+    ("loss", "BCE", " +BCE"),
+    ("loss", "focal", " +FL"),
+    ("title", "with_title", " +T"),
+    ("negatives", "opt_neg-1000", " (N1k)"),
+    ("negatives", "opt_neg-500", " (N500)"),
+)
+
+
+def model_abbreviation(run: Column | str) -> Column:
+    """Family with the marks of its run; an attribute, never a key."""
+    run = _col(run)
+    marks = []
+    for kind in dict.fromkeys(k for k, _, _ in RUN_MARKS):
+        fits = [F.when(run.contains(part), F.lit(mark)) for k, part, mark in RUN_MARKS if k == kind]
+        marks.append(F.coalesce(*fits, F.lit("")))
+    return F.concat(model_family(run), *marks)
 
 
 def config_label(model: Column | str, detail: Column | str) -> Column:
@@ -214,21 +228,9 @@ def fill_template(template: str, **values: Column | str) -> Column:
     return F.concat(*pieces)
 
 
-PARAPHRASE_PROMPT = (
-    'Task: Paraphrase the following abstract:\n"{text}"\n'
-    "Output: only the paraphrased abstract, 150-250 words"
-)
-WRITE_PROMPT = (
-    'Task: Write an abstract on the topic "{topic}" in the style of the example.\n'
-    "Example:\n{text}\nOutput: only the abstract, one paragraph, 150-250 words"
-)
-
-
-def prompt_text(text: Column | str, topic: Column | str | None = None, template: str | None = None) -> Column:
-    """Prompt of a sample: paraphrase it, or write on `topic` after its example."""
-    if topic is None:
-        return fill_template(template or PARAPHRASE_PROMPT, text=text)
-    return fill_template(template or WRITE_PROMPT, text=text, topic=topic)
+def prompt_text(template: str, text: Column | str, topic: Column | str | None = None) -> Column:
+    """Prompt of a sample from a template of the caller with the slots `{text}` and, if given, `{topic}`."""
+    return fill_template(template, text=text) if topic is None else fill_template(template, text=text, topic=topic)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -271,9 +273,3 @@ def count_terms(tokens: Column) -> Column:
         return F.when(F.size(s) == 0, empty).otherwise(let(starts, measure))
 
     return let(F.sort_array(tokens), cut)
-
-
-def category_name(metric: Column | str, prefixes: Sequence[str]) -> Column:
-    """Metric column name without its family prefix, e.g. `roc_auc_a` -> `a`."""
-    pattern = "^(" + "|".join(prefixes) + ")"
-    return F.regexp_replace(_col(metric), pattern, "")

@@ -12,7 +12,9 @@ from labelloom.functions.text import blank_to_null, clean_html, normalize_doi, s
 from labelloom.operators.ordering import digest_positions, seeded_digest
 from labelloom.session import broadcast_if_small, cut_lineage
 
+# Column names of the input lists.
 POSITIVE_NAMES = {"DOI": "doi", "Title": "title", "Abstract Note": "abstract"}
+# Column names of the input lists.
 CORPUS_NAMES = {"display_name": "title", "ab": "abstract"}
 
 
@@ -98,13 +100,24 @@ def anti_join_positives(
 ) -> DataFrame:
     """Corpus rows whose trimmed texts occur in no positive; rows with a null text are dropped.
 
-    `text_pairs` maps corpus columns to positive columns. Each pair is its own equi-join on digests;
-    one join with OR would compare all pairs.
+    `text_pairs` maps corpus columns to positive columns. The pairs are unfolded to rows (pair, digest), so one
+    equi-join finds the listed digests of the corpus, a set as small as the lists; rows that hold one go. The
+    corpus passes that filter without a shuffle while the set can be broadcast.
     """
-    kept = corpus.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in text_pairs]))
-    for corpus_column, positive_column in text_pairs.items():
-        listed = broadcast_if_small(_digests(positives, positive_column))
-        kept = kept.join(listed, text_key(strip(F.col(corpus_column))) == listed["__text"], "left_anti")
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in text_pairs])
+    listed = reduce(
+        DataFrame.union, [_digests(positives, p).select(F.lit(k).alias("__pair"), "__text") for k, p in enumerate(text_pairs.values())]
+    )
+    pairs = F.array(
+        *[F.struct(F.lit(k).alias("pair"), text_key(strip(F.col(c))).alias("text")) for k, c in enumerate(text_pairs)]
+    )
+    digests = corpus.where(complete).select(F.inline(pairs))
+    same = (F.col("pair") == F.col("__pair")) & (F.col("text") == F.col("__text"))
+    found = broadcast_if_small(digests.join(broadcast_if_small(listed), same, "left_semi").distinct())
+    kept = corpus.where(complete)
+    for k, column in enumerate(text_pairs):
+        gone = found.where(F.col("pair") == k).select(F.col("text").alias("__gone"))
+        kept = kept.join(gone, text_key(strip(F.col(column))) == F.col("__gone"), "left_anti")
     return kept
 
 
@@ -317,7 +330,11 @@ def seeded_cut(df: DataFrame, key: str, n: Column, seed: int, prefix: int = 5) -
     Bucket counts locate the digest prefix in which the n-th row lies; only that bucket, a millionth
     of the rows, is sorted.
     """
-    digests = df.select(seeded_digest(seed, key).alias("__digest")).withColumn("__piece", F.substring("__digest", 1, prefix))
+    return _nth_digest(df.select(seeded_digest(seed, key).alias("__digest")), n, prefix)
+
+
+def _nth_digest(digests: DataFrame, n: Column, prefix: int = 5) -> DataFrame:
+    digests = digests.withColumn("__piece", F.substring("__digest", 1, prefix))
     # At most 16^prefix rows.
     upto = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     buckets = digests.groupBy("__piece").agg(F.count(F.lit(1)).alias("__n")).withColumn("__upto", F.sum("__n").over(upto))
@@ -332,28 +349,34 @@ def seeded_cut(df: DataFrame, key: str, n: Column, seed: int, prefix: int = 5) -
 def undersample_negatives(df: DataFrame, key: str, labels: Sequence[str], coeff: int = 5, seed: int = 42) -> DataFrame:
     """All positives and `coeff` times as many negatives (or all there are), chosen by seeded digest.
 
-    The sample is `digest <= cut`, a filter inside the scan: neither side is shuffled or sorted.
+    The input is read twice: once for a narrow table of digests and flags, from which both counts and the
+    cut follow, and once for the sample `digest <= cut`, a filter inside the scan.
     """
     is_pos = any_positive(labels)
-    wanted = df.agg((F.count_if(is_pos) * coeff).alias("n")).scalar()
-    cut = seeded_cut(df.where(~is_pos), key, wanted, seed).scalar()
-    total = df.agg((F.count_if(~is_pos) <= F.count_if(is_pos) * coeff).alias("fits")).scalar()
-    return df.where(is_pos | total | (seeded_digest(seed, key) <= cut))
+    narrow = cut_lineage(df.select(is_pos.alias("__pos"), seeded_digest(seed, key).alias("__digest")))
+    positives, negatives = narrow.agg(F.count_if("__pos"), F.count_if(~F.col("__pos"))).first()
+    if negatives <= positives * coeff:
+        return df
+    cut = _nth_digest(narrow.where(~F.col("__pos")).select("__digest"), F.lit(positives * coeff)).scalar()
+    return df.where(is_pos | (seeded_digest(seed, key) <= cut))
 
 
 def shuffle_positions(df: DataFrame, key: str, seed: int = 42, out: str = "shuffle_pos") -> DataFrame:
-    """Position of every row in a seeded shuffle that no partitioning can change."""
-    placed = df.withColumn("__digest", seeded_digest(seed, key))
+    """`(key, position)` of every row in a seeded shuffle that no partitioning can change.
+
+    Only keys are numbered; join the result by key where other columns are wanted.
+    """
+    placed = df.select(key, seeded_digest(seed, key).alias("__digest"))
     return digest_positions(placed, "__digest", (), out).drop("__digest")
 
 
 def row_index(df: DataFrame, key: str, out: str = "row_index") -> DataFrame:
-    """Dense, repeatable row number tied to the key (a DataFrame has no order of its own)."""
+    """`(key, row number)`: dense, repeatable and tied to the key (a DataFrame has no order of its own)."""
     return shuffle_positions(df, key, 0, out)
 
 
 def cycle_sample(df: DataFrame, key: str, factor: int, seed: int = 42) -> DataFrame:
-    """`factor * n` samples that cycle over the n rows: sample i is row `i % n`."""
+    """`(key, sample_id)` of `factor * n` samples that cycle over the n rows: sample i is row `i % n`."""
     size = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     placed = shuffle_positions(df, key, seed, "__pos")
     turns = F.sequence(F.lit(0), F.lit(factor - 1))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.operators.ordering import running_aggregates
+from labelloom.session import null_safe_join
 
 THRESHOLD_METRICS = ("f1", "accuracy", "precision", "recall", "kappa")
 _RANKS_PER_CHUNK = 8192
@@ -113,7 +114,7 @@ def ndcg(ranked: DataFrame, by: Sequence[str], sizes: DataFrame | None = None) -
         F.sum(F.when(F.col("__part") == "ideal", discounts)).alias("__ideal"),
     )
     value = F.coalesce(F.try_divide("__dcg", "__ideal"), F.lit(0.0))
-    return sizes.join(parts, by, "left").select(*by, "pos", "total", value.alias("ndcg"))
+    return null_safe_join(sizes, parts, by, "left").select(*by, "pos", "total", value.alias("ndcg"))
 
 
 def roc_curve(ranked: DataFrame, by: Sequence[str], drop_collinear: bool = False) -> DataFrame:
@@ -161,7 +162,7 @@ def _corners(points: DataFrame, by: list[str]) -> DataFrame:
         (F.col("n_at") - F.col("tp_at")).alias("__fp_out"),
     )
     turn = F.col("tp_at") * F.col("__fp_out") - F.col("__tp_out") * (F.col("n_at") - F.col("tp_at"))
-    joined = points.join(steps, [*by, "n"], "left")
+    joined = null_safe_join(points, steps, [*by, "n"], "left")
     return joined.where((F.col("n_at") == 0) | F.col("__tp_out").isNull() | (turn != 0))
 
 

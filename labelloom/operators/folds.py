@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.operators.ordering import digest_positions, seeded_digest
-
-MAX_LABELS = 16
+from labelloom.session import broadcast_if_small
 
 
 def labelset(labels: Sequence[str]) -> Column:
@@ -32,13 +31,11 @@ def stratified_kfold(
     to within one, and the folds differ in total size by at most one. `n_runs` shuffles are derived
     from the base seed.
     """
-    if len(labels) > MAX_LABELS:
-        raise ValueError(f"at most {MAX_LABELS} labels, as label sets are enumerated")
     runs = F.explode(F.array(*[F.lit(r) for r in range(n_runs)]))
     keyed = df.select(key, labelset(labels).alias("labelset")).withColumn("run", runs)
     keyed = keyed.withColumn("__digest", seeded_digest(seed, "run", key))
     placed = digest_positions(keyed, "__digest", ["run", "labelset"], "set_pos").drop("__digest")
-    # At most 2^labels rows per run from here on.
+    # One row per run and label set that occurs from here on.
     rarest_first = (
         Window.partitionBy("run").orderBy("__n", "labelset").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -47,7 +44,7 @@ def stratified_kfold(
         .agg(F.count(F.lit(1)).alias("__n"))
         .select("run", "labelset", F.coalesce(F.sum("__n").over(rarest_first), F.lit(0)).alias("set_offset"))
     )
-    return placed.join(F.broadcast(sets), ["run", "labelset"]).select(
+    return placed.join(broadcast_if_small(sets), ["run", "labelset"]).select(
         key,
         "run",
         "labelset",
@@ -97,7 +94,7 @@ def train_dev_test(
 def fold_select(data: DataFrame, splits: DataFrame, key: str, run: int, fold: int, split: str) -> DataFrame:
     """Rows of one run, fold and split; the filters reach the partitions of a written split table."""
     wanted = splits.where((F.col("run") == run) & (F.col("fold") == fold) & (F.col("split") == split))
-    return data.join(wanted.select(key), key, "left_semi")
+    return data.join(broadcast_if_small(wanted.select(key)), key, "left_semi")
 
 
 def fold_report(splits: DataFrame, key: str, labels: Sequence[str]) -> DataFrame:

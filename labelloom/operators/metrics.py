@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.operators import curves
-from labelloom.session import broadcast_if_small, cut_lineage
+from labelloom.session import broadcast_if_small, cut_lineage, null_safe_join
 
 COUNTS = ("tn", "fp", "fn", "tp")
 
@@ -115,7 +115,7 @@ def rank_metrics(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     ranked = curves.ranked_counts(scored, by)
     areas = cut_lineage(curves.auc_and_ap(ranked, by))
     gain = curves.ndcg(ranked, by, areas).drop("pos", "total")
-    return areas.join(gain, list(by))
+    return null_safe_join(areas, gain, list(by))
 
 
 def detailed_metrics(scored: DataFrame, by: Sequence[str], row_key: str, label: str = "label") -> DataFrame:
@@ -128,10 +128,11 @@ def detailed_metrics(scored: DataFrame, by: Sequence[str], row_key: str, label:
     per = [*by, label]
     counts = prf_per_label(confusion_counts(scored, per)).withColumns({"accuracy": accuracy(), "mcc": mcc()})
     # One row per group and label; every later step reads these rows and not the scores again.
-    label_rows = cut_lineage(counts.join(rank_metrics(scored, per), per))
-    long_labels = label_rows.unpivot(
+    label_rows = cut_lineage(null_safe_join(counts, rank_metrics(scored, per), per))
+    wide = label_rows.withColumns({c: F.col(c).cast("double") for c in COUNTS})
+    long_labels = wide.unpivot(
         per,
-        ["precision", "recall", "f1", "kappa", "accuracy", "mcc", "roc_auc", "ap", "ndcg"],
+        [*COUNTS, "precision", "recall", "f1", "kappa", "accuracy", "mcc", "roc_auc", "ap", "ndcg"],
         "metric",
         "value",
     )
@@ -139,19 +140,41 @@ def detailed_metrics(scored: DataFrame, by: Sequence[str], row_key: str, label:
         *by, F.col("roc_auc").alias("roc_auc_micro"), F.col("ap").alias("ap_micro")
     )
     several = label_rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__labels")).where("__labels > 1")
-    averages = (
-        prf_averages(label_rows.select(*per, *COUNTS), by)
-        .join(curves.rank_averages(label_rows, by, "roc_auc", "ap"), by)
-        .join(label_rows.groupBy(*by).agg(F.avg("ndcg").alias("ndcg_macro")), by)
-        .join(subset_accuracy(scored, by, row_key), by)
-        .join(micro, by)
-        .join(several, by, "left_semi")
-    )
+    averages = prf_averages(label_rows.select(*per, *COUNTS), by)
+    for more in (
+        curves.rank_averages(label_rows, by, "roc_auc", "ap"),
+        label_rows.groupBy(*by).agg(F.avg("ndcg").alias("ndcg_macro")),
+        subset_accuracy(scored, by, row_key),
+        micro,
+    ):
+        averages = null_safe_join(averages, more, by)
+    averages = null_safe_join(averages, several, by, "left_semi")
     names = [c for c in averages.columns if c not in by]
     long_averages = averages.unpivot(by, names, "metric", "value").withColumn(label, F.lit(None).cast("string"))
     return long_labels.unionByName(long_averages)
 
 
+# The averaged columns of the published metrics table.
+AVERAGED = (
+    *[f"{m}_{a}" for m in ("precision", "recall", "f1", "f2", "kappa") for a in ("macro", "weighted")],
+    *["precision_micro", "recall_micro", "f1_micro", "mcc", "roc_auc_macro", "roc_auc_weighted", "roc_auc_micro"],
+    *["ap_macro", "ap_weighted", "ap_micro", "ndcg_macro", "subset_accuracy"],
+)
+
+
+def metrics_row(detailed: DataFrame, by: Sequence[str], labels: Sequence[str], label: str = "label", digits: int | None = None) -> DataFrame:
+    """`detailed_metrics` as one wide row per group, ready for `append_metrics`.
+
+    Per label the counts, F1, recall and precision, then the averaged values; counts are whole numbers.
+    """
+    names = F.when(F.col(label).isNull(), F.col("metric")).otherwise(F.concat_ws("_", "metric", label))
+    wanted = [f"{m}_{n}" for n in labels for m in (*COUNTS, "f1", "recall", "precision")] + list(AVERAGED)
+    wide = detailed.select(*by, names.alias("__name"), "value").groupBy(*by).pivot("__name", wanted).agg(F.first("value"))
+    counts = {f"{m}_{n}": F.col(f"{m}_{n}").cast("bigint") for n in labels for m in COUNTS}
+    others = {} if digits is None else {c: F.round(c, digits) for c in wanted if c not in counts}
+    return wide.withColumns({**counts, **others})
+
+
 def tuned_predictions(
     scored: DataFrame,
     by: Sequence[str],
@@ -166,7 +189,7 @@ def tuned_predictions(
     by = list(by)
     cuts = curves.optimal_threshold(curves.ranked_counts(scored.where(tune), by), by, metric)
     held_out = scored.where(~tune)
-    joined = held_out.join(broadcast_if_small(cuts.select(*by, "threshold")), by)
+    joined = null_safe_join(held_out, broadcast_if_small(cuts.select(*by, "threshold")), by)
     return joined.withColumn("pred", apply_threshold("score", F.col("threshold"), inclusive))
 
 
@@ -230,4 +253,4 @@ def labelset_distribution(splits: DataFrame, by: Sequence[str] = ("run", "fold",
     by = list(by)
     counts = splits.groupBy(*by, "labelset").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("__total"))
-    return counts.join(sizes, by).select(*by, "labelset", "n", (F.col("n") / F.col("__total")).alias("share"))
+    return null_safe_join(counts, sizes, by).select(*by, "labelset", "n", (F.col("n") / F.col("__total")).alias("share"))

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.session import cut_lineage
+from labelloom.session import cut_lineage, null_safe_join
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -32,8 +32,8 @@ def digest_positions(
 ) -> DataFrame:
     """0-based position of every row inside its group, in the order of an md5 column.
 
-    The first hex digits of a digest spread rows evenly and keep the order, so (group, prefix) is a
-    piece of bounded size and the offset of a piece is the count of the rows in earlier pieces.
+    The first hex digits of a digest spread rows evenly and keep the order, so a group is cut into 16^prefix
+    pieces and the offset of a piece is the count of the rows in earlier pieces. Null groups are groups.
     """
     groups = list(groups)
     piece = [*groups, "__piece"]
@@ -46,8 +46,7 @@ def digest_positions(
     )
     local = F.row_number().over(Window.partitionBy(*piece).orderBy(digest)) - 1
     return (
-        keyed.withColumn("__local", local)
-        .join(offsets, piece)
+        null_safe_join(keyed.withColumn("__local", local), offsets, piece)
         .withColumn(out, (F.col("__offset") + F.col("__local")).cast("bigint"))
         .drop("__piece", "__local", "__offset")
     )
@@ -91,7 +90,7 @@ def running_aggregates(
         *staged.columns,
         *[_COMBINE[op](column).over(upto).alias(f"__l_{out}") for out, (op, column) in aggregates.items()],
     )
-    joined = local.join(offsets, piece)
+    joined = null_safe_join(local, offsets, piece)
     merged = [_merge(op, F.col(f"__o_{out}"), F.col(f"__l_{out}")).alias(out) for out, (op, _) in aggregates.items()]
     return joined.select(*df.columns, *merged, *totals)
 

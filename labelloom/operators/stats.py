@@ -6,7 +6,6 @@ The input has one row per (fold, model); everything after the ranks has one row
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelloom.operators.ordering import digest_positions
+from labelloom.session import cut_lineage
+
 MIN_FOLDS = 3
-MAX_MODELS = 500
 # Two-tailed critical values of the Nemenyi test for 2 to 10 models (Demsar 2006).
 NEMENYI_CRITICAL = {
     0.05: (1.960, 2.343, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164),
@@ -35,28 +36,28 @@ def mean_ranks(df: DataFrame, model: str = "model", fold: str = "fold", value: s
     return ranks.groupBy(model).agg(F.avg("rank").alias("mean_rank"), F.count(F.lit(1)).alias("n_folds"))
 
 
-def chi2_survival(x: Column, df: Column) -> Column:
-    """P(X > x) for a chi-square variable with a whole number of degrees of freedom.
+def _chi2_tail(x: float, df: float) -> float:
+    """P(X > x) of a chi-square variable with whole degrees of freedom: a finite sum of positive terms.
 
-    The series of the regularised lower gamma function, summed in one expression.
+    Half of x is h; the terms are exp(-h) h^a / Gamma(a + 1) for a = df/2 - 1, df/2 - 2, ... down to 0 or
+    1/2, with erfc(sqrt(h)) below them where df is odd. Nothing is subtracted, so small tails stay exact.
     """
-    a, h = df / F.lit(2.0), x / F.lit(2.0)
-    # Gamma(a + 1) is a product from 1 or from 1/2 up to a; its first factor is Gamma(1) or Gamma(1/2).
-    even = df % 2 == 0
-    factors = F.sequence(F.lit(1), F.ceil(a).cast("int"))
-    log_gamma = F.when(even, F.lit(0.0)).otherwise(F.lit(math.log(math.pi) / 2)) + F.aggregate(
-        factors, F.lit(0.0), lambda acc, i: acc + F.log(i - F.when(even, 0.0).otherwise(0.5))
-    )
-    first = F.exp(a * F.log(h) - h - log_gamma)
-    start = F.struct(first.alias("term"), first.alias("total"))
+    if math.isnan(x) or math.isnan(df):
+        return float("nan")
+    if x <= 0:
+        return 1.0
+    h, power = x / 2, df / 2 - 1
+    total = math.erfc(math.sqrt(h)) if df % 2 else 0.0
+    while power > -0.5:
+        total += math.exp(power * math.log(h) - h - math.lgamma(power + 1))
+        power -= 1
+    return min(1.0, total)
 
-    def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * h / (a + i)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    n_terms = (F.ceil(h) + 200).cast("int")
-    lower = F.aggregate(F.sequence(F.lit(1), n_terms), start, step, lambda acc: acc["total"])
-    return F.when(x <= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - lower))
+@F.pandas_udf(T.DoubleType())
+def chi2_survival(x: pd.Series, df: pd.Series) -> pd.Series:
+    """P(X > x) for a chi-square variable with a whole number of degrees of freedom."""
+    return pd.Series([_chi2_tail(a, b) for a, b in zip(x.astype(float), df.astype(float))], dtype="float64")
 
 
 def friedman_test(df: DataFrame, model: str = "model", fold: str = "fold", value: str = "value") -> DataFrame:
@@ -82,22 +83,54 @@ def friedman_test(df: DataFrame, model: str = "model", fold: str = "fold", value
     return tested.select("n_folds", "n_models", "statistic", chi2_survival(F.col("statistic"), F.col("n_models") - 1).alias("p_value"))
 
 
-def _studentized_range_tail(q: float, k: int) -> float:
-    """P(range of k standard normals > q) by the trapezoid rule."""
+_GRID = np.linspace(-8.5, 8.5, 3401)
+_DENSITY = np.exp(-0.5 * _GRID * _GRID) / math.sqrt(2 * math.pi)
+_ERFC = np.vectorize(math.erfc, otypes=[float])
+
+
+def _range_tail(q: float, k: int) -> float:
+    """P(range of k standard normals > q) by the trapezoid rule.
+
+    One minus the chance that all others lie within q above the smallest; the difference is taken inside
+    the integral, where `expm1` and `log1p` keep small tails.
+    """
     if math.isnan(q):
         return float("nan")
-    z = np.linspace(-8.5, 8.5, 3401)
-    density = np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
-    cdf = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
-    shifted = np.array([0.5 * math.erfc(-(v - q) / math.sqrt(2)) for v in z])
-    inside = k * np.trapezoid(density * (cdf - shifted) ** (k - 1), z)
-    return float(min(1.0, max(0.0, 1.0 - inside)))
+    # P(a value above the smallest at z is within q of it, given that it is above z)
+    above = 0.5 * _ERFC(_GRID / math.sqrt(2))
+    beyond = 0.5 * _ERFC((_GRID + q) / math.sqrt(2))
+    share = np.divide(beyond, above, out=np.ones_like(above), where=above > 0)
+    outside = -np.expm1((k - 1) * np.log1p(-np.minimum(share, 1 - 1e-16)))
+    return float(min(1.0, max(0.0, np.trapezoid(k * _DENSITY * above ** (k - 1) * outside, _GRID))))
+
+
+def _critical(alpha: float, k: int) -> float:
+    """The range of k standard normals that is passed with chance alpha, over the root of two."""
+    low, high = 0.0, 20.0
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _range_tail(middle, k) > alpha else (low, middle)
+    return low / math.sqrt(2)
 
 
 @F.pandas_udf(T.DoubleType())
-def studentized_range_tail(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for q, k in batches:
-        yield pd.Series([_studentized_range_tail(a, int(b)) for a, b in zip(q, k)], dtype="float64")
+def studentized_range_tail(q: pd.Series, k: pd.Series) -> pd.Series:
+    """Tail of the range of k standard normals; equal (q, k) of a batch are computed once."""
+    pairs = list(zip(q.astype(float), k))
+    known = {pair: _range_tail(pair[0], int(pair[1])) for pair in set(pairs)}
+    return pd.Series([known[p] if p in known else float("nan") for p in pairs], dtype="float64")
+
+
+def critical_range(alpha: float, k: Column) -> Column:
+    """Critical value of the Nemenyi test for any number of models: the published ones, else computed."""
+    published = NEMENYI_CRITICAL.get(alpha, ())
+
+    @F.pandas_udf(T.DoubleType())
+    def value(models: pd.Series) -> pd.Series:
+        known = {n: published[n - 2] if 0 <= n - 2 < len(published) else _critical(alpha, n) for n in set(models.astype(int))}
+        return models.map(known).astype(float)
+
+    return value(k)
 
 
 def nemenyi_pairs(
@@ -105,31 +138,33 @@ def nemenyi_pairs(
 ) -> DataFrame:
     """All pairs of models: rank difference, q, p value, critical difference and significance.
 
-    One row per model enters (at most `MAX_MODELS`, more is an error); the pairs are the result.
-    The critical difference is known for up to ten models; significance follows the p value.
+    The pairs are the result, so their number is that of the pairs. Each model row is unfolded to the
+    numbers of the later models and joined on the number: the pairs of one model are spread over the
+    tasks like those of any other.
     """
     ranks = mean_ranks(df, model, fold, value)
-    packed = ranks.limit(MAX_MODELS + 1).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(model).alias("m"), F.col("mean_rank").alias("r")))).alias("__all"),
-        F.max("n_folds").alias("n_folds"),
-    )
-    k = F.size("__all")
-    guarded = packed.withColumn(
-        "__all", F.when(k <= MAX_MODELS, F.col("__all")).otherwise(F.raise_error(F.lit("too many models to compare in pairs")))
+    size = ranks.agg(F.count(F.lit(1)).alias("n_models"), F.max("n_folds").alias("n_folds"))
+    # one row: the critical value is computed once
+    size = cut_lineage(size.withColumn("__critical", critical_range(alpha, F.greatest("n_models", F.lit(2)))))
+    numbered = cut_lineage(
+        digest_positions(ranks.withColumn("__digest", F.md5(F.col(model).cast("string"))), "__digest").select(
+            "pos", F.col(model).alias("m"), F.col("mean_rank").alias("r")
+        )
     )
-    first = guarded.select("n_folds", "__all", k.alias("n_models"), F.posexplode("__all").alias("__i", "__a"))
-    pairs = first.select(
-        "n_folds", "n_models", "__a", F.explode(F.slice("__all", F.col("__i") + 2, F.size("__all"))).alias("__b")
+    n_models = size.select("n_models").scalar()
+    later = F.explode(F.when(F.col("pos") + 1 < n_models, F.sequence(F.col("pos") + 1, n_models - 1)))
+    left = numbered.select(F.col("m").alias("__m"), F.col("r").alias("__r"), later.alias("pos"))
+    pairs = left.join(numbered, "pos").withColumns(
+        {c: size.select(c).scalar() for c in ("n_models", "n_folds", "__critical")}
     )
     error = F.sqrt(F.col("n_models") * (F.col("n_models") + 1) / (F.lit(6.0) * F.col("n_folds")))
-    critical = F.get(F.array(*[F.lit(v) for v in NEMENYI_CRITICAL[alpha]]), F.col("n_models") - 2)
     named = pairs.select(
-        F.col("__a.m").alias("model_a"),
-        F.col("__b.m").alias("model_b"),
-        F.abs(F.col("__a.r") - F.col("__b.r")).alias("rank_diff"),
-        (critical * error).alias("critical_diff"),
+        F.least("__m", "m").alias("model_a"),
+        F.greatest("__m", "m").alias("model_b"),
+        F.abs(F.col("__r") - F.col("r")).alias("rank_diff"),
+        (F.col("__critical") * error).alias("critical_diff"),
         "n_models",
-        (F.abs(F.col("__a.r") - F.col("__b.r")) / error).alias("q"),
+        (F.abs(F.col("__r") - F.col("r")) / error).alias("q"),
     )
     # The range statistic is the rank difference over the error without the factor of two samples.
     tested = named.withColumn("p_value", studentized_range_tail(F.col("q") * F.lit(math.sqrt(2.0)), F.col("n_models")))

@@ -16,16 +16,22 @@ def trial_last_value(log: DataFrame, trial: str, iteration: str, metric: str) ->
 
 
 def best_trial(log: DataFrame, trial: str, iteration: str, metric: str, mode: str = "max", scope: str = "last") -> DataFrame:
-    """The trial with the best metric; the smallest id wins a tie.
+    """The trial with the best metric and its parameters; the smallest id wins a tie.
 
-    `scope` says what stands for a trial: its `last` value, or the best of `all` its values.
+    `scope` says what stands for a trial: its `last` value, or the best of `all` its values. The other
+    columns of the log come along from the row whose metric it is.
     """
     if mode not in ("max", "min") or scope not in ("last", "all"):
         raise ValueError("mode is max or min, scope is last or all")
+    others = [c for c in log.columns if c != trial]
+    row = F.struct(*others)
     if scope == "last":
-        per_trial = trial_last_value(log, trial, iteration, metric)
+        chosen = F.max_by(row, iteration)
     else:
-        per_trial = log.groupBy(trial).agg((F.max(metric) if mode == "max" else F.min(metric)).alias(metric))
+        # ties of the metric take the first iteration
+        signed = F.col(metric) if mode == "min" else -F.col(metric)
+        chosen = F.min_by(row, F.struct(signed.alias("m"), F.col(iteration).alias("i")))
+    per_trial = log.groupBy(trial).agg(chosen.alias("__row")).select(trial, *[F.col("__row")[c].alias(c) for c in others])
     order = F.desc(metric) if mode == "max" else F.asc(metric)
     return per_trial.orderBy(order, trial).limit(1)
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows of a key-only side (digest or id) that every executor can hold comfortably.
-BROADCAST_ROWS = 500_000
+# Rows and bytes of a narrow side (digests, ids) that every executor can hold comfortably.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def local_session(app: str = "labelloom", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -23,6 +26,7 @@ def local_session(app: str = "labelloom", cores: str = "*", shuffle_partitions:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="labelloom-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -69,13 +73,32 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `df` only after its rows have been counted; otherwise leave the join to shuffle.
+def _held_bytes(field: T.StructField) -> Column:
+    """Bytes of a value, roughly: texts and binaries as they are, 16 for others and for each array element."""
+    name = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+    if isinstance(field.dataType, (T.ArrayType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.array(name))), F.lit(0)) + 16
+    return F.lit(16)
 
-    Meant for narrow key sets that filter a wide table: below the bound the wide rows are not
-    shuffled at all.
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast `df` only after its rows and bytes have been counted; otherwise leave the join to shuffle.
+
+    Meant for narrow key sets that filter a wide table: below both bounds the wide rows are not
+    shuffled at all. The result of the join is the same on either side of the bounds.
     """
     staged = cut_lineage(df)
-    if staged.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(staged)
-    return staged
+    size = sum((_held_bytes(f) for f in df.schema.fields), F.lit(0))
+    rows, held = staged.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(staged) if rows <= max_rows and held <= max_bytes else staged
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of both sides in which a null equals a null; still an equi-join for Spark."""
+    renamed = right.withColumnsRenamed({c: f"__same_{c}" for c in columns})
+    if not columns:
+        return left.join(renamed)  # one row on either side
+    same = functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__same_{c}")) for c in columns))
+    return left.join(renamed, same, how).drop(*[f"__same_{c}" for c in columns])

@@ -16,16 +16,6 @@ def _decoded(file_column: str) -> Column:
     return F.url_decode(F.replace(F.col(file_column), F.lit("+"), F.lit("%2B")))
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """A scan with fewer splits than the session has cores, hashed over the cores; others unchanged.
-
-    For heavy per-row text work on a table in few row groups. A large table has enough splits of its
-    own and is never shuffled here. `scan` must be a plain read, whose splits are known unexecuted.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
-
-
 def scan_corpus(spark: SparkSession, directory: str) -> DataFrame:
     """All Parquet files under a directory tree."""
     return (

@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.sources.readers import spread
-
 LABELS = ("quality", "toxic")
 MODELS = (("alpha", 7919), ("beta", 6271), ("gamma", 3571))
 
@@ -18,9 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
-    """A text table for heavy per-row work: the given files hold a single row group."""
-    return spread(table(spark, sf_dir, name), key)
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A text table for heavy per-row work."""
+    return table(spark, sf_dir, name)
 
 
 def pubs(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:

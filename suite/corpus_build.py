@@ -27,7 +27,7 @@ def clean_sql(x):
 
 @query("clean_html", f"SELECT page_id, {clean_sql('html')} AS clean FROM pages")
 def _(spark, sf):
-    return texts(spark, sf, "pages", "page_id").select("page_id", text.clean_html("html").alias("clean"))
+    return texts(spark, sf, "pages").select("page_id", text.clean_html("html").alias("clean"))
 
 
 @query(
@@ -98,13 +98,11 @@ def _sections(spark, sf):
 
 def _fulltext_sql():
     line = strip_sql("x")
-    lines = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {line}), lambda x: x <> '')"
     # The tag depends on the untrimmed line, so both are carried.
     raw = f"list_filter(string_split(text, chr(10)), lambda x: {line} <> '')"
     closed = punct_sql(line)
     body = f"list_transform(list_filter(raw, lambda x: length(x) % 7 <> 0), lambda x: concat(CASE WHEN length(x) % 5 = 0 THEN '- ' ELSE '' END, {closed}))"
     notes = f"list_transform(list_filter(raw, lambda x: length(x) % 7 = 0), lambda x: concat('- ', {closed}))"
-    del lines
     return f"""WITH s AS (SELECT *, {raw} AS raw FROM documents),
     parts AS (SELECT doc_id, lang, list_concat(
         list_concat(CASE WHEN lang = 'de' THEN ['Box:'] ELSE [] END, [concat(source, '.')]),
@@ -171,14 +169,16 @@ def _(spark, sf):
 
 @query(
     "prompt_text",
-    """SELECT doc_id, concat('Task: Paraphrase the following abstract:', chr(10), '"', text, '"', chr(10), 'Output: only the paraphrased abstract, 150-250 words') AS paraphrase,
-    concat('Task: Write an abstract on the topic "', source, '" in the style of the example.', chr(10), 'Example:', chr(10), text, chr(10),
-           'Output: only the abstract, one paragraph, 150-250 words') AS writing
+    """SELECT doc_id, concat('Say it anew: <', text, '>') AS paraphrase, concat('On ', source, ', in the manner of', chr(10), text) AS writing
     FROM documents""",
 )
 def _(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", text.prompt_text("text").alias("paraphrase"), text.prompt_text("text", "source").alias("writing"))
+    return docs.select(
+        "doc_id",
+        text.prompt_text("Say it anew: <{text}>", "text").alias("paraphrase"),
+        text.prompt_text("On {topic}, in the manner of\n{text}", "text", "source").alias("writing"),
+    )
 
 
 VECTOR_PAIRS = """pairs AS (SELECT a.vec_id, a.embedding AS o, b.embedding AS p, a.label AS lo, b.label AS lp

@@ -6,7 +6,7 @@ from labelloom.functions import losses
 from labelloom.operators import curves, folds, metrics
 from labelloom.session import cut_lineage
 from suite.adapters import (
-    LABELS, PUBS, SCORED, pubs, scored, scored_models, table, with_,
+    LABELS, PUBS, SCORED, SCORED_MODELS, pubs, scored, scored_models, table, with_,
 )
 from suite.registry import query, r8, rounded
 
@@ -504,28 +504,61 @@ def _(spark, sf):
 def _detail_sql():
     per = {"precision": P, "recall": R, "f1": F1, "kappa": KAPPA, "accuracy": ACC, "mcc": MCC}
     rows = [f"SELECT fold, label, '{m}' AS metric, {e} AS value FROM counted" for m, e in per.items()]
+    rows += [f"SELECT fold, label, '{c}', CAST({c} AS DOUBLE) FROM counted" for c in ("tn", "fp", "fn", "tp")]
     rows.append(f"SELECT fold, label, 'roc_auc', {AUC} FROM ranked GROUP BY fold, label")
     rows.append(f"SELECT fold, label, 'ap', {AP} FROM ranked GROUP BY fold, label")
+    rows.append("SELECT i.fold, i.label, 'ndcg', coalesce(sum(d) / nullif(max(i), 0), 0) FROM tie t JOIN ideal i ON t.fold = i.fold AND t.label = i.label GROUP BY i.fold, i.label")
     return " UNION ALL ".join(rows)
 
 
+PLACES = """pos AS (SELECT fold, label, y, score, row_number() OVER (PARTITION BY fold, label ORDER BY score DESC, doc_id) AS rk,
+    row_number() OVER (PARTITION BY fold, label ORDER BY y DESC, doc_id) AS best FROM scored),
+tie AS (SELECT fold, label, score, avg(CAST(y AS DOUBLE)) * sum(1.0e0 / log2(rk + 1)) AS d FROM pos GROUP BY 1, 2, 3),
+ideal AS (SELECT fold, label, sum(y / log2(best + 1)) AS i FROM pos GROUP BY 1, 2)"""
+
+
 @query(
     "metrics_dispatch",
-    with_(SCORED, COUNTED, ranked_sql("scored", ["fold", "label"])) + f"SELECT fold, label, metric, round(value, 8) AS value FROM ({_detail_sql()})",
+    with_(SCORED, COUNTED, ranked_sql("scored", ["fold", "label"]), PLACES)
+    + f"SELECT fold, label, metric, round(value, 8) AS value FROM ({_detail_sql()})",
 )
 def _(spark, sf):
+    """The rows per label; `metrics_row` checks the averaged ones."""
     result = metrics.detailed_metrics(scored(spark, sf), ["fold"], "doc_id")
-    per_label = result.where("label is not null and metric <> 'ndcg'").select("fold", "label", "metric", "value")
-    return rounded(per_label, "value")
-
-
-@query("metrics_row")
-def _(spark, sf):
-    """The averaged metric set of every model and fold as one wide row (rows-only check)."""
-    result = metrics.detailed_metrics(scored_models(spark, sf), ["model", "fold"], "doc_id").where("label is null")
-    names = ["precision_macro", "recall_macro", "f1_macro", "f1_micro", "f1_weighted", "f2_macro", "kappa_macro", "mcc",
-             "subset_accuracy", "roc_auc_macro", "roc_auc_micro", "ap_weighted", "ap_micro", "ndcg_macro"]
-    return rounded(result.groupBy("model", "fold").pivot("metric", names).agg(F.first("value")), *names)
+    return rounded(result.where("label is not null").select("fold", "label", "metric", "value"), "value")
+
+
+def _metrics_row_sql():
+    """Counts per label and all averaged values of every model and fold, one wide row each."""
+    by, per = "model, fold", "model, fold, label"
+    counted = COUNTED.replace("fold, label", per).replace("FROM scored ", "FROM scored_models ")
+    summed = SUMMED.replace("SELECT fold,", f"SELECT {by},").replace("GROUP BY fold", f"GROUP BY {by}")
+    micro = ranked_sql("scored_models", ["model", "fold"]).replace("tied", "tied_all").replace("ranked AS", "ranked_all AS")
+    averaged = _averages(["precision", "recall", "f1", "f2", "kappa"])
+    label_columns = [
+        f"CAST(max(CASE WHEN label = '{n}' THEN {c} END) AS BIGINT) AS {c}_{n}" for n in LABELS for c in ("tn", "fp", "fn", "tp")
+    ] + [r8(f"max(CASE WHEN label = '{n}' THEN {e} END)", f"{m}_{n}") for n in LABELS for m, e in (("f1", F1), ("recall", R), ("precision", P))]
+    return with_(SCORED_MODELS, counted, summed, ranked_sql("scored_models", ["model", "fold", "label"]), micro) + f""",
+    areas AS (SELECT {per}, max(pos) AS pos, {AUC} AS auc, {AP} AS ap FROM ranked GROUP BY {per}),
+    area_means AS (SELECT {by}, {r8("avg(auc)", "roc_auc_macro")}, {r8("sum(pos * auc) / sum(pos)", "roc_auc_weighted")},
+        {r8("avg(ap)", "ap_macro")}, {r8("sum(pos * ap) / sum(pos)", "ap_weighted")} FROM areas GROUP BY {by}),
+    micro AS (SELECT {by}, {r8(AUC, "roc_auc_micro")}, {r8(AP, "ap_micro")} FROM ranked_all GROUP BY {by}),
+    places AS (SELECT {per}, y, score, row_number() OVER (PARTITION BY {per} ORDER BY score DESC, doc_id) AS rk,
+        row_number() OVER (PARTITION BY {per} ORDER BY y DESC, doc_id) AS best FROM scored_models),
+    dcg AS (SELECT {per}, sum(d) AS d FROM (SELECT {per}, score, avg(CAST(y AS DOUBLE)) * sum(1.0e0 / log2(rk + 1)) AS d FROM places GROUP BY {per}, score) GROUP BY {per}),
+    ideal AS (SELECT {per}, sum(y / log2(best + 1)) AS i FROM places GROUP BY {per}),
+    gains AS (SELECT {by}, {r8("avg(coalesce(d / nullif(i, 0), 0))", "ndcg_macro")} FROM dcg JOIN ideal USING ({per}) GROUP BY {by}),
+    whole AS (SELECT {by}, {r8("avg(CASE WHEN ok THEN 1.0e0 ELSE 0.0e0 END)", "subset_accuracy")}
+        FROM (SELECT {by}, doc_id, bool_and(y = pred) AS ok FROM scored_models GROUP BY {by}, doc_id) GROUP BY {by}),
+    labels_wide AS (SELECT {by}, {", ".join(label_columns)}, {averaged} FROM counted GROUP BY {by}),
+    pooled AS (SELECT {by}, {r8(P, "precision_micro")}, {r8(R, "recall_micro")}, {r8(F1, "f1_micro")}, {r8(MCC, "mcc")} FROM summed)
+    SELECT * FROM labels_wide JOIN pooled USING ({by}) JOIN area_means USING ({by}) JOIN micro USING ({by}) JOIN gains USING ({by}) JOIN whole USING ({by})"""
+
+
+@query("metrics_row", _metrics_row_sql())
+def _(spark, sf):
+    """The published row: counts and scores per label and the averaged metric set of every model and fold."""
+    return metrics.metrics_row(metrics.detailed_metrics(scored_models(spark, sf), ["model", "fold"], "doc_id"), ["model", "fold"], LABELS, digits=8)
 
 
 # --- losses ----------------------------------------------------------------------------------------

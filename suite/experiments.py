@@ -34,7 +34,7 @@ def _gaps(spark, sf):
     + "SELECT m.doc_id, m.label, CAST(3 AS BIGINT) AS n_models, round(score, 8) AS score FROM means m JOIN labels l ON m.doc_id = l.doc_id",
 )
 def _(spark, sf):
-    aligned = ensemble.align_model_scores(_gaps(spark, sf), ["doc_id", "label"])
+    aligned = ensemble.align_model_scores(_gaps(spark, sf), ["doc_id", "label"], missing="drop")
     return rounded(aligned.select("doc_id", "label", "n_models", "score"), "score")
 
 
