@@ -16,11 +16,10 @@ def _decoded(file_column: str) -> Column:
     return F.url_decode(F.replace(F.col(file_column), F.lit("+"), F.lit("%2B")))
 
 
-def scan_corpus(spark: SparkSession, directory: str) -> DataFrame:
-    """All Parquet files under a directory tree."""
-    return (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(directory)
-    )
+def scan_corpus(spark: SparkSession, directory: str, schema: T.StructType | None = None) -> DataFrame:
+    """All Parquet files under a directory tree, in a given schema or in the union of the files' columns."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    return (reader.option("mergeSchema", "true") if schema is None else reader.schema(schema)).parquet(directory)
 
 
 def scan_positive_csv(spark: SparkSession, directory: str, prefix: str = "") -> DataFrame:
@@ -53,19 +52,26 @@ def scan_ids(spark: SparkSession, path: str, column: str = "PMID") -> DataFrame:
     return spark.read.option("header", "true").csv(path).select(F.col(column).cast("string")).distinct()
 
 
-def scan_splits(spark: SparkSession, root: str, schema: T.StructType, processed: bool = True) -> tuple[DataFrame, DataFrame]:
+def _csv(spark: SparkSession, schema: T.StructType, multi_line: bool):
+    """Quoted CSV. Fields with line breaks need `multi_line`, which makes each file one task."""
+    return spark.read.schema(schema).option("header", "true").option("multiLine", str(multi_line).lower()).option("escape", '"')
+
+
+def scan_splits(
+    spark: SparkSession, root: str, schema: T.StructType, processed: bool = True, multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """(train, test) of a prepared data set; the train part raw or processed."""
-    reader = spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("escape", '"')
+    reader = _csv(spark, schema, multi_line)
     train = reader.csv(f"{root}/{'processed' if processed else 'raw'}_train")
     return train, reader.csv(f"{root}/test")
 
 
-def scan_predictions(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
+def scan_predictions(spark: SparkSession, pattern: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
     """Prediction files of all models and folds; model, loss, title flag, fold and run from the file name.
 
     Spark writes a directory of part files where other tools write one file; both are read.
     """
-    rows = spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("escape", '"').csv(pattern)
+    rows = _csv(spark, schema, multi_line).csv(pattern)
     file = _decoded("_metadata.file_path")
 
     def part(i: int):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from labelloom.functions import text
+from labelloom.functions import text, vectors
 from labelloom.functions.vectors import cosine_similarity, paraphrase_gate
 from labelloom.operators import corpus as ops
 from suite.adapters import CORPUS, LABELS, POSITIVES, PUBS, corpus, positives, pubs, table, texts, with_
@@ -270,12 +270,12 @@ def _(spark, sf):
 
 @query("multi_hot", with_(PUBS) + "SELECT doc_id, concat('[', quality, ',', toxic, ']') AS vector, quality + toxic AS n_labels, toxic AS second FROM pubs")
 def _(spark, sf):
-    vector = F.array(*LABELS)
-    return pubs(spark, sf).select(
+    encoded = pubs(spark, sf).select("doc_id", vectors.multi_hot(LABELS).alias("v"))
+    return encoded.select("doc_id", "v", *vectors.from_multi_hot("v", LABELS)).select(
         "doc_id",
-        F.concat(F.lit("["), F.array_join(vector.cast("array<string>"), ","), F.lit("]")).alias("vector"),
-        F.aggregate(vector, F.lit(0), lambda a, x: a + x).alias("n_labels"),
-        F.element_at(vector, 2).alias("second"),
+        F.concat(F.lit("["), F.array_join(F.col("v").cast("array<string>"), ","), F.lit("]")).alias("vector"),
+        sum((F.col(n) for n in LABELS), F.lit(0)).alias("n_labels"),
+        F.col(LABELS[1]).alias("second"),
     )
 
 
