@@ -148,8 +148,11 @@ def _by_document(place: np.ndarray, starts: np.ndarray, keys: np.ndarray):
     return [(int(keys[doc[a]]), local[a:b].tobytes()) for a, b in _runs(doc)]
 
 
-def _send(place, name, context, doc, ids, keys, starts, slabs):
-    """What a slice decides by itself, one row a document, and its open entries, one row a slab."""
+def _send(place, name, context, doc, ids, keys, starts, slabs, dealt=None):
+    """What a slice decides by itself, one row a document, and its open entries, one row a slab.
+
+    `dealt` are other hashes to choose slabs by: then a slab keeps all 64 bits of its names apart from them.
+    """
     order, full, several, new_name = _decide(name, context, ids[doc])
     place_, doc_ = place[order], doc[order]
     open_ = several & ~full
@@ -162,7 +165,7 @@ def _send(place, name, context, doc, ids, keys, starts, slabs):
     if found:
         yield _rows({"slab": [k % slabs for k in found], "key": list(found), "full": [v[0] for v in found.values()], "open": [v[1] for v in found.values()]})
     picked = order[ship]
-    slab = (name[picked] % np.uint64(slabs)).astype(np.int64)
+    slab = ((name if dealt is None else dealt)[picked] % np.uint64(slabs)).astype(np.int64)
     by_slab = np.argsort(slab, kind="stable")
     picked, slab, flags = picked[by_slab], slab[by_slab], several[ship][by_slab]
     columns: dict[str, list] = {c: [] for c in _NAMES if c not in ("key", "full", "open")}
@@ -173,7 +176,7 @@ def _send(place, name, context, doc, ids, keys, starts, slabs):
         columns["ids"].append(ids[docs].tobytes())
         columns["keys"].append(keys[docs].tobytes())
         columns["starts"].append(starts[docs].astype("<u4").tobytes())
-        codes = name[some] // np.uint64(slabs)
+        codes = name[some] if dealt is not None else name[some] // np.uint64(slabs)
         columns["name"].append(codes.astype("<u4" if context is not None else "<u8").tobytes())
         columns["context"].append(context[some].tobytes() if context is not None else None)
         columns["place"].append((place[some].astype(np.uint32) | np.where(flags[a:b], _FLAG, np.uint32(0))).tobytes())
@@ -313,7 +316,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
             # the rank pair at the offset that makes both halves cover the window
             name = _mixed(half[place] * np.uint64(_ODD) + half[place + length - HALF])
             doc = np.searchsorted(starts, place, "right") - 1
-            yield from _send(place, name, None, doc, ids, keys, starts, slabs)
+            yield from _send(place, name, None, doc, ids, keys, starts, slabs, half[place])
 
     open_ = first.where(F.octet_length("open") > 0).select("key", "open")
     second = _collected(_beside(texts, open_, "inner").select("key", "id", "text", "open").mapInArrow(double, ENTRY), 0, length, "repeats-2")
