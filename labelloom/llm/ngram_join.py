@@ -97,7 +97,7 @@ def _sketch(texts: DataFrame, n: int, bits: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, cells: np.ndarray, bits: int) -> DataFrame:
-    """Per row: id, n (set size), node, its prefix in order and the parity signature."""
+    """Per row: id, n (set size), node, its prefix in order, the parity signature and gid, its group."""
     frequency = docs.sparkSession.sparkContext.broadcast(cells)
 
     def make():
@@ -125,7 +125,8 @@ def _prefixes(docs: DataFrame, n: int, percent: int, cells: np.ndarray, bits: in
         return apply
 
     signs = "".join(f", s{k} bigint" for k in range(SIGNATURE))
-    return stage_table(map_slices(docs, make, f"id bigint, n bigint, node bigint, prefix array<bigint>{signs}"), "prefixes")
+    rows = map_slices(docs, make, f"id bigint, n bigint, node bigint, prefix array<bigint>{signs}")
+    return stage_table(rows.withColumn("gid", F.xxhash64("prefix", "n")), "prefixes")
 
 
 def _may_link(a: str, b: str, percent: int, signed: bool) -> Column:
@@ -186,20 +187,21 @@ def similar_components(
 
     # nodes, and groups of nodes with one prefix and size
     signs = [f"s{k}" for k in range(SIGNATURE)]
-    nodes = rows.where("n > 0").withColumn("gid", F.xxhash64("prefix", "n")).select("node", "gid", "n", "prefix", *signs).dropDuplicates(["node"])
-    nodes = stage_table(nodes, "nodes")
-    groups = nodes.groupBy("gid").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("members"), F.any_value("n").alias("n"))
-    # one node of each group stands for its prefix
-    heads = nodes.join(groups.select("gid", "node", "members"), ["gid", "node"])
-    grams = heads.select("gid", "n", F.posexplode("prefix").alias("pos", "gram"))
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("groups"), F.min_by("gid", F.xxhash64("gid", "gram")).alias("leader")).where("groups > 1")
-    postings = stage_table(grams.join(shared.select("gram", "leader"), "gram"), "gram-postings")
-
-    members = nodes.select("gid", "node", "n", *signs)
-    leads = heads.select("gid", "node", "n", *signs)
+    filled = rows.where("n > 0")
+    nodes = stage_table(filled.select("node", "gid", "n", *signs).dropDuplicates(["node"]), "nodes")
+    leads = nodes.groupBy("gid").agg(
+        F.min("node").alias("node"), F.any_value("n").alias("n"), *[F.min_by(s, "node").alias(s) for s in signs], F.count(F.lit(1)).alias("members")
+    )
+    leads = stage_table(leads, "groups")
+    grams = filled.groupBy("gid").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")).select(
+        "gid", "n", F.posexplode("prefix").alias("pos", "gram")
+    )
+    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("gram")
+    postings = stage_table(grams.join(shared, "gram"), "gram-postings")
 
     # first round: every group with the leaders of its n-grams, every node with the first of its group
-    star = postings.where("gid <> leader").select("gid", "leader").distinct()
+    leaders = postings.groupBy("gram").agg(F.min_by("gid", F.xxhash64("gid", "gram")).alias("leader"))
+    star = postings.join(leaders, "gram").where("gid <> leader").select("gid", "leader").distinct()
     star = (
         star.join(leads.alias("a"), "gid")
         .join(leads.withColumnRenamed("gid", "leader").alias("b"), "leader")
@@ -207,8 +209,8 @@ def similar_components(
         .select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
     )
     inside = (
-        members.alias("a")
-        .join(groups.where("members > 1").select("gid", F.col("node").alias("first")).alias("g"), "gid")
+        nodes.alias("a")
+        .join(leads.where("members > 1").select("gid", F.col("node").alias("first")).alias("g"), "gid")
         .where("a.node <> first")
         .select(F.col("a.node").alias("x"), F.col("first").alias("y"))
     )
@@ -217,7 +219,7 @@ def similar_components(
 
     # second round: group pairs that are not yet in one component
     placed = stage_table(
-        nodes.drop("prefix").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed"
+        nodes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed"
     )
     spans = placed.groupBy("gid").agg(
         F.min("component").alias("low"),
