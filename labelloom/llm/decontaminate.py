@@ -146,49 +146,52 @@ def search(index: DataFrame, items: DataFrame, window: int = 13, slop: int | Non
             continue
         terms = spark.createDataFrame([(bytearray(w),) for w in vocabulary], "term binary")
         used = index.where("term is not null").select("shard", "term", "n", "places").join(broadcast_if_small(terms), "term")
-        frequency = {bytes(r["term"]): r["n"] for r in used.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-        plans = []
-        for k, (_, words) in enumerate(texts):
-            for start in range(max(1, len(words) - window + 1) if words else 0):
-                piece = words[start : start + window]
-                if all(w in frequency for w in piece):
-                    order = sorted(range(len(piece)), key=lambda o, p=piece: (frequency[p[o]], o))
-                    plans.append((k, [(piece[o], o) for o in order]))
-        names = [t[0] for t in texts]
+        number = {w: k for k, w in enumerate(vocabulary)}
+        frequency = np.zeros(len(vocabulary), np.int64)
+        for row in used.groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most the block's vocabulary
+            frequency[number[bytes(row["term"])]] = row["n"]
+        names, coded = [t[0] for t in texts], [np.array([number[w] for w in words], np.int32) for _, words in texts]
         heads = index.where("term is null").select("shard", F.lit(None).cast("binary").alias("term"), F.lit(None).cast("binary").alias("places"), "starts")
         rows = used.select("shard", "term", "places", F.lit(None).cast("array<int>").alias("starts")).unionByName(heads)
-        matches = rows.groupBy("shard").applyInArrow(_search_shard(plans, names, slop), MATCH)
+        matches = rows.groupBy("shard").applyInArrow(_search_shard(coded, names, vocabulary, frequency, window, slop), MATCH)
         found = matches if found is None else found.unionByName(matches)
     return stage_table(found, "matches") if found is not None else spark.createDataFrame([], MATCH)
 
 
-def _search_shard(plans, names, slop):
+def _search_shard(items, names, vocabulary, frequency, window, slop):
+    """Search of one shard: items are arrays of term numbers, frequencies are those of the whole corpus."""
+
     def apply(rows: pa.Table) -> pa.Table:
         shard = rows.column("shard")[0].as_py()
+        number = {w: k for k, w in enumerate(vocabulary)}
         places, starts = {}, None
         for term, packed, begins in zip(*(rows.column(c).to_pylist() for c in ("term", "places", "starts")), strict=True):
             if term is None:
                 starts = np.array(begins, np.int64)
             else:
-                places[term] = np.cumsum(np.frombuffer(packed, "<i4"), dtype=np.int64)
+                places[number[term]] = np.cumsum(np.frombuffer(packed, "<i4"), dtype=np.int64)
+        here = np.zeros(len(vocabulary), bool)
+        here[list(places)] = True
         out = {}
-        for item, window in plans:
-            if not all(term in places for term, _ in window):
-                near = list(dict.fromkeys(t for t, _ in window))[:NEAR_TERMS]
-                if not all(t in places for t in near):
+        for item, codes in enumerate(items):
+            for first in range(max(1, len(codes) - window + 1) if len(codes) else 0):
+                piece = codes[first : first + window]
+                whole = here[piece].all()
+                if not whole and slop is None:
                     continue
-                at = np.empty(0, np.int64)
-            else:
-                near = list(dict.fromkeys(t for t, _ in window))[:NEAR_TERMS]
-                at = _phrase(places, window)
-            size = len(window)
-            if len(at):
-                doc = np.searchsorted(starts, at, "right") - 1
-                good = (at >= 0) & (at + size <= starts[np.minimum(doc + 1, len(starts) - 1)])
-                out.setdefault((item, "phrase"), []).append((at[good], at[good] + size))
-            low, high = (at[:0], at[:0]) if slop is None else _near(places, starts, near, window[0][1], size, slop)
-            if len(low):
-                out.setdefault((item, "near"), []).append((low, high + 1))
+                size, order = len(piece), np.argsort(frequency[piece], kind="stable")
+                if whole:
+                    at = _phrase(places, [(int(piece[o]), int(o)) for o in order])
+                    if len(at):
+                        doc = np.searchsorted(starts, at, "right") - 1
+                        good = (at >= 0) & (at + size <= starts[np.minimum(doc + 1, len(starts) - 1)])
+                        out.setdefault((item, "phrase"), []).append((at[good], at[good] + size))
+                if slop is not None:
+                    near = list(dict.fromkeys(int(piece[o]) for o in order))[:NEAR_TERMS]
+                    if here[near].all():
+                        low, high = _near(places, starts, near, int(order[0]), size, slop)
+                        if len(low):
+                            out.setdefault((item, "near"), []).append((low, high + 1))
         columns = [[], [], [], [], []]
         for (item, kind), spans in out.items():
             low, high = (np.concatenate([s[c] for s in spans]) for c in (0, 1))
