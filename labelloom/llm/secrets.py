@@ -16,6 +16,7 @@ sample no span is added.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -28,13 +29,15 @@ from labelloom.llm.common import fresh
 KINDS = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
     ("access", r"AKIA[A-Z0-9]{16,}", 20),
-    ("hex", r"[0-9a-f]{24,}", 24),
+    ("hex", r"(?<![0-9a-f])[0-9a-f]{24,}", 24),
 )
+#: Parts of which one stands, in lower case, in every text with a match: a cheap test before the pattern.
+HINTS = {"assign": ("passw", "secret", "token", "api"), "access": ("akia",)}
 MARKOV = "markov"
 ORDER = tuple(k for k, _, _ in KINDS) + (MARKOV,)
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: Tokens that the models judge, and the shorter ones that ordinary identifiers are learned from.
-TOKEN, IDENTIFIER = r"[A-Za-z0-9+/_.=-]{20,}", r"[A-Za-z0-9+/_.=-]{12,}"
+TOKEN, IDENTIFIER = (r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % n for n in (20, 12))
 ANY_BASE = "|".join(f"(?:{p})" for _, p, _ in KINDS)
 #: The alphabet's characters have codes from here on, this many.
 FIRST_CODE, CODES = 43, 80
@@ -44,7 +47,7 @@ LEAST_RATIO = 0.5
 SMOOTHING = 0.5
 
 
-def placed(text: Column, pattern: str, group: int = 0) -> Column:
+def placed(text: Column, pattern: str, group: int = 0, hints: tuple[str, ...] = ()) -> Column:
     """Array of (start, end, value) of all matches, leftmost and not overlapping; `value` is the given group."""
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     values = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1)) if group else whole
@@ -70,13 +73,15 @@ def placed(text: Column, pattern: str, group: int = 0) -> Column:
             ).alias("out"),
         ),
     )
-    # the cheap test first: most texts hold no match at all
-    return F.when(F.regexp_like(text, F.lit(pattern)), run["out"]).otherwise(zero["out"])
+    # the cheap tests first: most texts hold no match at all
+    may = [F.contains(F.lower(text), F.lit(h)) for h in hints]
+    some = functools.reduce(lambda a, b: a | b, may) if may else F.lit(True)
+    return F.when(some & F.regexp_like(text, F.lit(pattern)), run["out"]).otherwise(zero["out"])
 
 
 def base_spans(text: Column, kind: str) -> Column:
     pattern, least = next((p, n) for k, p, n in KINDS if k == kind)
-    found = placed(text, pattern, 1 if kind == "assign" else 0)
+    found = placed(text, pattern, 1 if kind == "assign" else 0, HINTS.get(kind, ()))
     return F.filter(found, lambda x: F.length(x["value"]) >= least)
 
 
@@ -101,15 +106,16 @@ def transitions(token: Column) -> Column:
 
 
 def labelled_tokens(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """(token, random, n): values of base spans as random samples, other identifier-like words as ordinary ones."""
+    """(token, random): values of base spans as random samples, other identifier-like words as ordinary ones."""
     scanned = with_base(docs.select(F.col(text_column)), text_column)
-    secret = scanned.where(F.size("__base") > 0).select(F.explode("__base.value").alias("token"), F.lit(True).alias("random"))
     # what base patterns take is no ordinary identifier
     rest = F.when(F.size("__base") > 0, F.regexp_replace("__text", ANY_BASE, " ")).otherwise(F.col("__text"))
-    plain = scanned.select(
-        F.explode(F.regexp_extract_all(rest, F.lit(f"({IDENTIFIER})"), F.lit(1))).alias("token"), F.lit(False).alias("random")
+    plain = F.regexp_extract_all(rest, F.lit(f"({IDENTIFIER})"), F.lit(1))
+    both = F.concat(
+        F.transform("__base", lambda x: F.struct(x["value"].alias("token"), F.lit(True).alias("random"))),
+        F.transform(plain, lambda x: F.struct(x.alias("token"), F.lit(False).alias("random"))),
     )
-    return secret.union(plain)
+    return scanned.select(F.inline(both))
 
 
 def train(tokens: DataFrame) -> dict[str, float] | None:
