@@ -1,17 +1,17 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings over hashed text.
 
 Grades are ordered, P(grade <= j) = sigmoid(threshold_j - score), and all thresholds share one weight
-vector, score = w . x. Features are hashed: the words of a text (present or not), the shapes of its words
-(share of the text's words) and how repetitive it is. The model gives the expected grade and the tail
-probability P(grade >= j) that selection uses.
+vector, score = w . x. Features are hashed and present or absent: the words of a text, the shapes of its
+words and their immediate repetitions by the share of the text that they pass, its length and variety. The
+model gives the expected grade and the tail probability P(grade >= j) that selection uses.
 
 Fitting takes a bounded sample of labelled rows (`max_rows`, chosen by a hash of the id), staged once as
 narrow rows of feature numbers; each L-BFGS step is a Spark job whose tasks return one gradient each. The
-features are those hashes that occur in `min_docs` texts of the sample; hashes have 40 bits, so that words
-do not share a weight in practice. Scoring is a map over whole texts; the model goes along with the tasks
-and its size is bounded by the sample.
+features are those hashes that occur in `min_docs` texts of the sample and whose presence depends on the
+grade by a chi-square test; hashes have 40 bits, so that words do not share a weight in practice. Scoring
+is a map over whole texts; the model goes along with the tasks and its size is bounded by the sample.
 
-Defined results: null and empty texts have no features and get the score 0; labels with a null rating
+Defined results: null and empty texts have the feature of no words only; labels with a null rating
 or without a document are no samples; without any labelled row every document has the top grade.
 """
 
@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import functools
 import math
+import operator
 import pickle
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,15 @@ from labelloom.llm.common import map_slices
 from labelloom.session import stage_table
 
 #: Labelled rows that a fit takes at most, texts that a feature needs, and partitions of a gradient step.
-MAX_ROWS, MIN_DOCS, PARTITIONS = 20_000, 8, 6
+MAX_ROWS, MIN_DOCS, PARTITIONS = 20_000, 5, 6
+#: Chi-square by grade that a feature must reach, about one in 10^6 by chance for three grades.
+LEAST_CHI2 = 27.0
 #: Steps and penalty of the fit.
-STEPS, PENALTY = 40, 3e-4
+STEPS, PENALTY = 30, 3e-5
+#: A share of a text counts once at each of these denominators that it reaches.
+LEVELS = (64, 16, 4)
 #: Entries of a worker's store of words (twice).
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 _EDGE = re.compile(r"^\W+|\W+$")
 _RUN = re.compile(r"(.)\1+")
 
@@ -52,15 +58,21 @@ def shape(word: str) -> str:
     return _RUN.sub(r"\1+", kinds)
 
 
-def word_features(raw: str) -> tuple[int, int]:
-    return hashed("w", _EDGE.sub("", raw).lower()), hashed("s", shape(raw))
+def word_features(raw: str) -> tuple[int, str]:
+    return hashed("w", _EDGE.sub("", raw).lower()), shape(raw)
 
 
-def text_feature(words: list[str], distinct: int) -> int:
-    """One feature for length and repetition, in coarse steps."""
+def levels(kind: str, value: str, count: int, total: int) -> list[int]:
+    return [hashed(kind, f"{value}:{level}") for level in LEVELS if count * level >= total] if count else []
+
+
+def text_features(words: list[str]) -> list[int]:
+    """Length and variety in coarse steps, and words that repeat the word before them."""
     if not words:
-        return hashed("t", "none")
-    return hashed("t", f"{int(math.log2(len(words)))}:{int(10 * distinct / len(words))}")
+        return [hashed("t", "none")]
+    variety = f"{int(math.log2(len(words)))}:{int(10 * len(set(words)) / len(words))}"
+    again = sum(map(operator.eq, words, words[1:]))
+    return [hashed("t", variety), *levels("r", "again", again, len(words))]
 
 
 class Store:
@@ -84,15 +96,14 @@ class Store:
         return value
 
 
-def sparse_features(text: str | None, store: Store) -> dict[int, float]:
+def text_hashes(text: str | None, store: Store) -> set[int]:
+    """All features of a text."""
     words = (text or "").split()
-    out: dict[int, float] = {}
     found = store.all(words)
-    for _, s in found:
-        out[s] = out.get(s, 0.0) + 1.0 / len(words)
-    for w, _ in found:
-        out[w] = 1.0
-    out[text_feature(words, len(set(words)))] = 1.0
+    out = {w for w, _ in found}
+    for form, count in Counter(f for _, f in found).items():
+        out.update(levels("s", form, count, len(words)))
+    out.update(text_features(words))
     return out
 
 
@@ -103,24 +114,31 @@ class OrdinalModel:
         self.weights = dict(zip(hashes.tolist(), weights.tolist(), strict=True))
         self.thresholds = [float(t) for t in thresholds]
         self.store = Store(self._word)
+        self.forms = Store(self._form)
 
-    def _word(self, raw: str) -> tuple[float, float]:
-        w, s = word_features(raw)
-        return self.weights.get(w, 0.0), self.weights.get(s, 0.0)
+    def _word(self, raw: str) -> tuple[float, str, int]:
+        w, form = word_features(raw)
+        return self.weights.get(w, 0.0), form, w
+
+    def _form(self, form: str) -> tuple[float, ...]:
+        """Weight of a shape that is as frequent as each level, by rising share."""
+        each = [self.weights.get(hashed("s", f"{form}:{level}"), 0.0) for level in LEVELS]
+        return tuple(math.fsum(each[: k + 1]) for k in range(len(LEVELS)))
 
     def score(self, text: str | None) -> float:
         words = (text or "").split()
-        if not words:
-            return 0.0
-        once = set(words)
-        shapes = self.store.all(words)
+        found = self.store.all(words)
         # a word counts once, however it is written
-        heavy = {_EDGE.sub("", w).lower(): v[0] for w, v in zip(words, shapes, strict=True) if v[0]}
-        total = math.fsum(heavy.values()) + math.fsum(v[1] for v in shapes) / len(words)
-        return total + self.weights.get(text_feature(words, len(once)), 0.0)
+        parts = list({h: w for w, _, h in found if w}.values())
+        for form, count in Counter(f for _, f, _ in found).items():
+            passed = sum(count * level >= len(words) for level in LEVELS)
+            if passed:
+                parts.append(self.forms.all([form])[0][passed - 1])
+        parts += [self.weights.get(h, 0.0) for h in text_features(words)]
+        return math.fsum(parts)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _model_of(data: bytes) -> OrdinalModel:
     return OrdinalModel(*pickle.loads(data))
 
@@ -185,6 +203,7 @@ def fit(
     grades: int = 3,
     max_rows: int = MAX_ROWS,
     min_docs: int = MIN_DOCS,
+    least_chi2: float = LEAST_CHI2,
     steps: int = STEPS,
     penalty: float = PENALTY,
 ) -> bytes | None:
@@ -203,38 +222,38 @@ def fit(
         store = Store(word_features)
 
         def apply(batch):
-            found = [sparse_features(t, store) for t in batch.column(1).to_pylist()]
-            return [batch.column(0), [list(f) for f in found], [list(f.values()) for f in found]]
+            return [batch.column(0), [sorted(text_hashes(t, store)) for t in batch.column(1).to_pylist()]]
 
         return apply
 
     rows = stage_table(
-        map_slices(chosen.select("grade", "text").repartition(PARTITIONS), extract, "grade int, hashes array<bigint>, shares array<double>"),
+        map_slices(chosen.select("grade", "text").repartition(PARTITIONS), extract, "grade int, hashes array<bigint>"),
         "quality-sample",
     )
-    counts = rows.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    hashes = np.sort(np.array([r["h"] for r in counts.select("h").collect()], np.int64))
     by_grade = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = sum(by_grade.values())
     if not size:
         return None
+    each = rows.select("grade", F.explode("hashes").alias("h")).groupBy("h").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("grade") == g).alias(f"g{g}") for g in by_grade]
+    )
+    expected = {g: F.col("n") * F.lit(n / size) for g, n in by_grade.items()}
+    chi2 = sum(((F.col(f"g{g}") - e) * (F.col(f"g{g}") - e) / e for g, e in expected.items()), F.lit(0.0))
+    telling = each.where((F.col("n") >= min_docs) & (F.col("n") < size)).where(chi2 * size / (size - F.col("n")) >= least_chi2)
+    hashes = np.sort(np.array([r["h"] for r in telling.select("h").collect()], np.int64))  # bounded by the sample
 
     def renumber():
         def apply(batch):
-            flat, parts, values = [], [], []
-            for found, shares in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found, shares = np.array(found, np.int64), np.array(shares)
+            out = []
+            for found in batch.column(1).to_pylist():
+                found = np.array(found, np.int64)
                 at = np.searchsorted(hashes, found)
-                good = (at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == found) if len(hashes) else np.zeros(len(found), bool)
-                flat.append(at[good])
-                values.append(shares[good])
-                parts.append(int(good.sum()))
-            pack = lambda a, t: [x.astype(t).tobytes() for x in a]
-            return [batch.column(0), pack(flat, "<i4"), pack(values, "<f4")]
+                out.append(at[np.append(hashes, -1)[at] == found].astype("<i4").tobytes())
+            return [batch.column(0), out]
 
         return apply
 
-    packed = stage_table(map_slices(rows, renumber, "grade int, numbers binary, shares binary"), "quality-numbers")
+    packed = stage_table(map_slices(rows, renumber, "grade int, numbers binary"), "quality-numbers")
     width, cuts = len(hashes), grades - 1
     seen = np.cumsum([by_grade.get(g, 0) + 0.5 for g in range(grades)])[:-1] / (size + 0.5 * grades)
     base = np.log(seen / (1 - seen))
@@ -251,13 +270,12 @@ def fit(
             for batch in batches:
                 y = batch.column(0).to_numpy()
                 numbers = [np.frombuffer(b, "<i4") for b in batch.column(1).to_pylist()]
-                shares = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f4").astype(np.float64)
                 rows_ = np.repeat(np.arange(len(y)), [len(n) for n in numbers])
                 flat = np.concatenate(numbers) if numbers else np.empty(0, np.int32)
-                scores = np.bincount(rows_, shares * weights[flat], len(y))
+                scores = np.bincount(rows_, weights[flat], len(y))
                 part, by_score, by_cut = loss_and_gradient(scores, y, thresholds)
                 loss += part
-                grad += np.bincount(flat, by_score[rows_] * shares, width) if len(flat) else 0.0
+                grad += np.bincount(flat, by_score[rows_], width)
                 by_threshold += by_cut
             yield pa.RecordBatch.from_arrays(
                 [pa.array([loss]), pa.array([grad.tobytes()]), pa.array([by_threshold.tobytes()])], names=["loss", "w", "t"]
