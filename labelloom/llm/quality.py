@@ -5,7 +5,7 @@ vector, score = w . x. Features are hashed and present or absent: the words of a
 words and their immediate repetitions by the share of the text that they pass, its length and variety. The
 model gives the expected grade and the tail probability P(grade >= j) that selection uses.
 
-Fitting takes a bounded sample of labelled rows (`max_rows`, chosen by a hash of the id), staged once as
+Fitting takes a bounded sample of labelled rows (`graded`: `max_rows`, chosen by a hash of the id), staged once as
 narrow rows of feature numbers; each L-BFGS step is a Spark job whose tasks return one gradient each. The
 features are those hashes that occur in `min_docs` texts of the sample and whose presence depends on the
 grade by a chi-square test; hashes have 40 bits, so that words do not share a weight in practice. Scoring
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelloom.llm.common import map_slices
-from labelloom.session import stage_table
+from labelloom.session import broadcast_if_small, stage_table
 
 #: Labelled rows that a fit takes at most, texts that a feature needs, and partitions of a gradient step.
 MAX_ROWS, MIN_DOCS, PARTITIONS = 20_000, 5, 6
@@ -201,7 +201,6 @@ def fit(
     grade: str = "grade",
     text_column: str = "text",
     grades: int = 3,
-    max_rows: int = MAX_ROWS,
     min_docs: int = MIN_DOCS,
     least_chi2: float = LEAST_CHI2,
     steps: int = STEPS,
@@ -209,14 +208,9 @@ def fit(
 ) -> bytes | None:
     """The pickled arrays of a model (hashes, weights, thresholds) from rows with a grade 0 to `grades - 1`.
 
-    `labelled` holds an `id`; of more than `max_rows` rows those with the smallest hashes of it are taken.
+    `labelled` is a bounded sample, see `graded`.
     """
-    usable = labelled.where(F.col(grade).isNotNull()).select("id", F.col(grade).cast("int").alias("grade"), F.col(text_column).alias("text"))
-    total = usable.select("id").count()
-    if not total:
-        return None
-    share = min(1.0, max_rows / total)
-    chosen = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    chosen = labelled.where(F.col(grade).isNotNull()).select(F.col(grade).cast("int").alias("grade"), F.col(text_column).alias("text"))
 
     def extract():
         store = Store(word_features)
@@ -227,7 +221,7 @@ def fit(
         return apply
 
     rows = stage_table(
-        map_slices(chosen.select("grade", "text").repartition(PARTITIONS), extract, "grade int, hashes array<bigint>"),
+        map_slices(chosen.repartition(PARTITIONS), extract, "grade int, hashes array<bigint>"),
         "quality-sample",
     )
     by_grade = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -293,11 +287,17 @@ def fit(
     return pickle.dumps((hashes, best[:width], spread(best[width:])))
 
 
-def graded(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, grade, text) of the labelled documents: 0 toxic, 1 of low quality, 2 good. Labels are the narrow side."""
+def graded(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(id, grade, text) of labelled documents: 0 toxic, 1 of low quality, 2 good.
+
+    Of more than `max_rows` labels about so many are taken, those with the smallest hashes of their ids. They
+    are few and narrow, so the texts are filtered in the scan.
+    """
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
     rated = labels.where("quality is not null and toxic is not null and doc_id is not null").select("doc_id", grade.alias("grade"))
-    return documents.select("doc_id", "text").join(rated, "doc_id").select(F.col("doc_id").alias("id"), "grade", "text")
+    share = min(1.0, max_rows / max(1, rated.count()))
+    chosen = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return documents.select("doc_id", "text").join(broadcast_if_small(chosen), "doc_id").select(F.col("doc_id").alias("id"), "grade", "text")
 
 
 def score_texts(df: DataFrame, model: bytes | None, text_column: str = "text", grades: int = 3, prefix: str = "") -> DataFrame:
