@@ -415,7 +415,7 @@ TOKENS = r"""tokens AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text
 COUNTS = """grams AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tokens),
 counts AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY 1, 2)"""
 VOCAB = """vocab AS (SELECT term, df, ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM (
-  SELECT term, sum(tf) AS cf, count(*) AS df FROM counts GROUP BY term ORDER BY cf DESC, term LIMIT 2000))"""
+  SELECT term, sum(tf) AS cf, count(*) AS df FROM counts GROUP BY term ORDER BY cf DESC, term LIMIT 10000))"""
 
 
 @query("token_features", with_(TOKENS, COUNTS) + "SELECT doc_id, term, tf FROM counts")
@@ -423,11 +423,11 @@ def _(spark, sf):
     return terms.term_counts(texts(spark, sf), "doc_id", "text", STOP_WORDS)
 
 
-@query("tfidf_vocabulary", with_(TOKENS, COUNTS, VOCAB) + "SELECT term, df, round(idf, 8) AS idf FROM vocab")
+@query("tfidf_vocabulary", with_(TOKENS, COUNTS, VOCAB) + "SELECT term, row_number() OVER (ORDER BY term) - 1 AS index, df, round(idf, 8) AS idf FROM vocab")
 def _(spark, sf):
     docs = texts(spark, sf)
-    vocabulary = terms.fit_vocabulary(terms.term_counts(docs, "doc_id", "text", STOP_WORDS), docs, 2000)
-    return rounded(vocabulary.select("term", "df", "idf"), "idf")
+    vocabulary = terms.fit_vocabulary(terms.term_counts(docs, "doc_id", "text", STOP_WORDS), docs, 10_000)
+    return rounded(vocabulary.select("term", F.col("index").cast("bigint").alias("index"), "df", "idf"), "idf")
 
 
 @query(
@@ -437,9 +437,9 @@ def _(spark, sf):
     SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 8) AS weight FROM w""",
 )
 def _(spark, sf):
-    docs = texts(spark, sf)
-    counts = terms.term_counts(docs, "doc_id", "text", STOP_WORDS)
-    return rounded(terms.tfidf(counts, terms.fit_vocabulary(counts, docs, 2000), "doc_id"), "weight")
+    counted = terms.counted_documents(texts(spark, sf), "doc_id", "text", STOP_WORDS)
+    counts = terms.unfolded_terms(counted, "doc_id")
+    return rounded(terms.tfidf(counts, terms.fit_vocabulary(counts, counted, 10_000), "doc_id"), "weight")
 
 
 @query("max_sequence_length", r"SELECT CAST(max(len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'))) AS INTEGER) AS max_tokens FROM documents")
