@@ -16,12 +16,22 @@ from labelloom.session import cut_lineage, stage_table
 SLICE_ROWS = 512
 #: Bytes of text in such a slice, for very long texts.
 SLICE_BYTES = 8 << 20
+#: Rows of an Arrow batch between Spark and its Python tasks; Spark's 10,000 suit short rows, not texts.
+BATCH_ROWS, BATCH_SETTING = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """`df`, after the session's Arrow batches have been bounded for rows that hold texts; lower bounds stay."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of bounded rows and of bounded bytes on average."""
     for batch in batches:
@@ -48,7 +58,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable], schema: T.StructType
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.mapInArrow(run, fields)
+    return text_batches(df).mapInArrow(run, fields)
 
 
 def fresh(columns: Sequence[str], name: str) -> str:
@@ -131,4 +141,5 @@ __all__ = [
     "pieces_for",
     "stage_table",
     "table",
+    "text_batches",
 ]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import pieces_for, slices
+from labelloom.llm.common import pieces_for, slices, text_batches
 from labelloom.session import broadcast_if_small, stage_table
 
 #: Bytes of text in a shard, and of test items that are searched at a time.
@@ -96,7 +96,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             yield from shard_rows(ids, lengths, words)
 
     narrow = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return stage_table(narrow.mapInArrow(build, INDEX), "postings")
+    return stage_table(text_batches(narrow).mapInArrow(build, INDEX), "postings")
 
 
 def _near(places, starts, terms, offset, size, slop):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import connected_components, cut_lineage, map_slices, slices
+from labelloom.llm.common import connected_components, cut_lineage, map_slices, slices, text_batches
 from labelloom.session import broadcast_if_small, stage_table
 
 #: Signature words of 64 bits, and the bounds of the sketch's size.
@@ -91,7 +91,7 @@ def _sketch(texts: DataFrame, n: int, bits: int) -> np.ndarray:
     kinds = "slab bigint, cells binary"
     total = np.zeros((slabs, (1 << bits) // slabs), np.int32)
     # the sketch has a fixed size: at most 4 * 2^MOST_BITS bytes in all
-    for row in texts.mapInArrow(count, kinds).repartition("slab").mapInArrow(add, kinds).toLocalIterator():
+    for row in text_batches(texts).mapInArrow(count, kinds).repartition("slab").mapInArrow(add, kinds).toLocalIterator():
         total[row["slab"]] = np.frombuffer(row["cells"], "<i4")
     return total.ravel()
 

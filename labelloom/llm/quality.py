@@ -22,6 +22,7 @@ import math
 import operator
 import pickle
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -59,7 +60,7 @@ def shape(word: str) -> str:
 
 
 def word_features(raw: str) -> tuple[int, str]:
-    return hashed("w", _EDGE.sub("", raw).lower()), shape(raw)
+    return hashed("w", _EDGE.sub("", raw).lower()), sys.intern(shape(raw))
 
 
 def levels(kind: str, value: str, count: int, total: int) -> list[int]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import map_slices, pieces_for, slices
+from labelloom.llm.common import map_slices, pieces_for, slices, text_batches
 from labelloom.session import stage_table
 
 #: Bytes of a gram that is sampled and of the halves that a window's name is made of.
@@ -299,7 +299,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
             context = hashes.ranges(np.maximum(starts[doc], place - (length - GRAM)), np.minimum(starts[doc + 1], place + length))
             yield from _send(place, grams[place], context, doc, ids, keys, starts, slabs)
 
-    first = _collected(texts.mapInArrow(sample, ENTRY), length - GRAM, length, "repeats-1")
+    first = _collected(text_batches(texts).mapInArrow(sample, ENTRY), length - GRAM, length, "repeats-1")
 
     def double(batches):
         for piece in slices(batches, 1 << 20, SLICE_BYTES):

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import slices
+from labelloom.llm.common import slices, text_batches
 from labelloom.session import stage_table, staging_path
 
 #: Bytes of an archive after which a task begins the next one, and of one read.
@@ -180,7 +180,7 @@ def write_archives(pages: DataFrame, folder: str, id_column="page_id", url_colum
                 names=["path", "records", "bytes"],
             )
 
-    return stage_table(marked.mapInArrow(write, MANIFEST), "warc-manifest")
+    return stage_table(text_batches(marked).mapInArrow(write, MANIFEST), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
