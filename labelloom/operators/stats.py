@@ -83,12 +83,12 @@ def friedman_test(df: DataFrame, model: str = "model", fold: str = "fold", value
     return tested.select("n_folds", "n_models", "statistic", chi2_survival(F.col("statistic"), F.col("n_models") - 1).alias("p_value"))
 
 
-_GRID = np.linspace(-8.5, 8.5, 3401)
+_GRID = np.linspace(-14.0, 14.0, 5601)
 _DENSITY = np.exp(-0.5 * _GRID * _GRID) / math.sqrt(2 * math.pi)
 _ERFC = np.vectorize(math.erfc, otypes=[float])
 
 
-def _range_tail(q: float, k: int) -> float:
+def _studentized_range_tail(q: float, k: int) -> float:
     """P(range of k standard normals > q) by the trapezoid rule.
 
     One minus the chance that all others lie within q above the smallest; the difference is taken inside
@@ -109,7 +109,7 @@ def _critical(alpha: float, k: int) -> float:
     low, high = 0.0, 20.0
     for _ in range(50):
         middle = (low + high) / 2
-        low, high = (middle, high) if _range_tail(middle, k) > alpha else (low, middle)
+        low, high = (middle, high) if _studentized_range_tail(middle, k) > alpha else (low, middle)
     return low / math.sqrt(2)
 
 
@@ -117,7 +117,7 @@ def _critical(alpha: float, k: int) -> float:
 def studentized_range_tail(q: pd.Series, k: pd.Series) -> pd.Series:
     """Tail of the range of k standard normals; equal (q, k) of a batch are computed once."""
     pairs = list(zip(q.astype(float), k))
-    known = {pair: _range_tail(pair[0], int(pair[1])) for pair in set(pairs)}
+    known = {pair: _studentized_range_tail(pair[0], int(pair[1])) for pair in set(pairs)}
     return pd.Series([known[p] if p in known else float("nan") for p in pairs], dtype="float64")
 
 

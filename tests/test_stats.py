@@ -69,9 +69,9 @@ def test_early_stop_equals_sequential_counter(spark, patience, threshold):
 
 def test_best_trial_scopes(spark):
     df = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.2), (2, 1, 0.1), (2, 2, 0.5), (3, 2, 0.5)], "t int, i int, v double")
-    assert tuple(trials.best_trial(df, "t", "i", "v").first()) == (2, 0.5)
-    assert tuple(trials.best_trial(df, "t", "i", "v", scope="all").first()) == (1, 0.9)
-    assert tuple(trials.best_trial(df, "t", "i", "v", mode="min").first()) == (1, 0.2)
+    assert trials.best_trial(df, "t", "i", "v").select("t", "v").first() == (2, 0.5)
+    assert trials.best_trial(df, "t", "i", "v", scope="all").select("t", "v").first() == (1, 0.9)
+    assert trials.best_trial(df, "t", "i", "v", mode="min").select("t", "v").first() == (1, 0.2)
     with pytest.raises(ValueError):
         trials.best_trial(df, "t", "i", "v", mode="best")
 

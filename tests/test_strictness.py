@@ -98,7 +98,7 @@ def test_small_tails_are_no_noise():
     assert math.isclose(stats._chi2_tail(100.0, 1), math.erfc(math.sqrt(50)), rel_tol=1e-12)
     assert math.isclose(stats._chi2_tail(100.0, 4), math.exp(-50) * 51, rel_tol=1e-12)
     # two normals: the range is the absolute value of a normal with variance two
-    assert math.isclose(stats._range_tail(12.0, 2), math.erfc(6.0), rel_tol=1e-6)
+    assert math.isclose(stats._studentized_range_tail(12.0, 2), math.erfc(6.0), rel_tol=1e-6)
 
 
 def test_seventeen_labels(spark):
