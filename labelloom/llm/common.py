@@ -15,9 +15,10 @@ from labelloom.session import cut_lineage, stage_table
 #: Rows that a Python task handles at a time, so that its memory does not follow the Arrow batch size.
 SLICE_ROWS = 512
 #: Bytes of text in such a slice, for very long texts.
-SLICE_BYTES = 8 << 20
-#: Rows of an Arrow batch between Spark and its Python tasks; Spark's 10,000 suit short rows, not texts.
+SLICE_BYTES = 4 << 20
+#: Rows and bytes of an Arrow batch between Spark and its Python tasks; Spark's 10,000 rows and 64 MB suit short rows.
 BATCH_ROWS, BATCH_SETTING = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES, BYTES_SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,7 @@ def text_batches(df: DataFrame) -> DataFrame:
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
         conf.set(BATCH_SETTING, str(BATCH_ROWS))
+        conf.set(BYTES_SETTING, BATCH_BYTES)
     return df
 
 

@@ -44,7 +44,7 @@ STEPS, PENALTY = 30, 3e-5
 #: A share of a text counts once at each of these denominators that it reaches.
 LEVELS = (64, 16, 4)
 #: Entries of a worker's store of words (twice).
-WORDS_KEPT = 100_000
+WORDS_KEPT = 50_000
 _EDGE = re.compile(r"^\W+|\W+$")
 _RUN = re.compile(r"(.)\1+")
 
