@@ -7,8 +7,8 @@ takes from it only the rows of terms that the test items use, adds up their freq
 shards, and intersects, shard by shard, the offset-adjusted lists of a window from its rarest term on.
 
 Exact matches are windows of `window` consecutive item words (an item of fewer words is one window);
-near matches are places where the window's rarest distinct terms all stand within its length and `slop`
-words (`slop` None: exact matches only). Neither crosses documents. Items are searched in blocks of bounded bytes, so they may outgrow any
+near matches are places where the window's rarest distinct terms stand, in any order, within its length and
+`slop` words of the rarest (`slop` None: exact matches only). Neither crosses documents. Items are searched in blocks of bounded bytes, so they may outgrow any
 executor.
 
 Defined results: null and empty texts have no words and match nothing; rows are told apart by their place
@@ -99,12 +99,12 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return stage_table(text_batches(narrow).mapInArrow(build, INDEX), "postings")
 
 
-def _near(places, starts, terms, offset, size, slop):
-    """Positions of the rarest term around which all the other terms stand in the same document."""
+def _near(places, starts, terms, reach):
+    """Stretches around the rarest term in which all the other terms stand, in the same document."""
     at = places[terms[0]]
     doc = np.searchsorted(starts, at, "right") - 1
-    low = np.maximum(at - offset - slop, starts[doc])
-    high = np.minimum(at - offset + size + slop, starts[doc + 1]) - 1
+    low = np.maximum(at - reach, starts[doc])
+    high = np.minimum(at + reach, starts[doc + 1] - 1)
     for term in terms[1:]:
         other = places[term]
         k = np.searchsorted(other, low)
@@ -189,7 +189,7 @@ def _search_shard(items, names, vocabulary, frequency, window, slop):
                 if slop is not None:
                     near = list(dict.fromkeys(int(piece[o]) for o in order))[:NEAR_TERMS]
                     if here[near].all():
-                        low, high = _near(places, starts, near, int(order[0]), size, slop)
+                        low, high = _near(places, starts, near, size - 1 + slop)
                         if len(low):
                             out.setdefault((item, "near"), []).append((low, high + 1))
         columns = [[], [], [], [], []]

@@ -12,7 +12,7 @@ block at one depth are matrix products. Blocks are joined on their numbers; noth
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without an id,
 take no part; rows of one id count once, with the smallest vector; vectors of other lengths than the
-query's are no candidates; equal scores go to the smaller id; fewer candidates than k give fewer rows.
+query's are no candidates; equal scores go to the smaller id; scores beyond a bigint are held at its ends; fewer candidates than k give fewer rows.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ DEPTHS = (0.3, 0.6, 1.0)
 RESOLVE = 40
 #: Above this sum of products 64-bit floats are no longer exact.
 EXACT = 1 << 53
+#: Scores beyond a bigint are held at its ends.
+LONG = (1 << 63) - 1
 
 
 def block_top_k(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
@@ -126,7 +128,7 @@ def exact_top_k(
         width = one.column("width")[0].as_py()
         ids, query_ids = one.column("id").to_numpy(), two.column("id").to_numpy()
         q, v, score = block_top_k(ids, _matrix(one.column("v"), width), query_ids, _matrix(two.column("v"), width), k)
-        return pa.table({n: pa.array(a, pa.int64()) for n, a in zip(names, (query_ids[q], ids[v], [int(s) for s in score]))})
+        return pa.table({n: pa.array(a, pa.int64()) for n, a in zip(names, (query_ids[q], ids[v], [min(max(int(s), -LONG - 1), LONG) for s in score]))})
 
     keys = ["block", "part", "width"]
     best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
