@@ -4,8 +4,14 @@ Differencing keeps partial partitions, each a row of n parts with their bytes. T
 spread (largest minus smallest part) are combined in opposite order, the heaviest part of one with the
 lightest of the other, until one is left. Here it runs as a tree of Spark jobs: buckets of some thousand
 groups are differenced in a task each; what remains of a bucket is one partial partition of n numbers,
-and these are differenced again, many buckets to a task, level by level, until one remains. Group members
-then find their shard by joins with the small maps of the levels. Texts never move, only their digests.
+and these are differenced again, many buckets to a task, until some hundred nodes remain.
+
+Levelled partitions cannot make room for a heavy group, so the last differencing takes single weights only:
+the groups too heavy for a bucket, which never enter one (fewer than n times the nodes), each part of each
+node as a lump of its own, and from every level one node left apart, down to the groups of one bucket, so
+that there are ever finer weights to fill the shards around the heavy groups. Its size does not follow the
+table. Group members then find their shard by joins with the small maps of the levels. Texts never move,
+only their digests.
 
 Defined results: null text has no bytes (size 8) and is a group of its own, apart from empty text; equal
 texts stay together, however many; repeated rows are rows; an empty table gives no rows.
@@ -24,6 +30,8 @@ from labelloom.llm.common import numbered_slots, pieces_for, stage_table
 
 #: Groups that a task differences at a time, and partial partitions of the level below.
 BUCKET_GROUPS, FAN_IN = 20_000, 1_000
+#: Nodes whose parts meet in the last differencing.
+TOP_NODES = 250
 
 
 def difference(partials: np.ndarray, parts: int) -> np.ndarray:
@@ -86,30 +94,67 @@ def _difference_parts(parts: int):
     return apply
 
 
+def _difference_top(parts: int):
+    """Single weights (groups, and parts of nodes) and their shards."""
+
+    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bytes", "digest", "level", "node", "part"], ascending=[False, True, True, True, True])
+        partials = np.zeros((len(pdf), parts), np.int64)
+        partials[:, 0] = pdf["bytes"].to_numpy()
+        return pdf.assign(shard=difference(partials, parts)[:, 0])
+
+    return apply
+
+
 def shard_of_groups(groups: DataFrame, parts: int, bucket_groups: int = BUCKET_GROUPS, fan_in: int = FAN_IN) -> DataFrame:
     """(digest, shard) of groups (digest, bytes)."""
-    nodes = pieces_for(groups.count(), bucket_groups)
-    bucketed = groups.withColumn("bucket", F.pmod(F.xxhash64("digest", F.lit(10)), F.lit(nodes)))
-    placed = bucketed.groupBy("bucket").applyInPandas(
+    n, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    nodes = pieces_for(n, bucket_groups)
+    tops = min(nodes, fan_in, TOP_NODES)
+    # a single bucket is the last differencing itself
+    heavy = (F.col("bytes") > total // (parts * tops)) if nodes > 1 else F.lit(False)
+    bucketed = groups.withColumn("bucket", F.when(~heavy, F.pmod(F.xxhash64("digest", F.lit(10)), F.lit(nodes))))
+    apart = F.coalesce(F.col("bucket"), F.lit(0)) == 0
+    # lumps have an empty digest, groups have no place in a level
+    item = "digest binary, level int, node bigint, part bigint, bytes bigint"
+    single = bucketed.where(apart).select("digest", F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("part"), "bytes")
+    if nodes == 1:
+        return single.groupBy("level").applyInPandas(_difference_top(parts), f"{item}, shard int").select("digest", "shard")
+
+    def lumps(sums: DataFrame, level: int) -> DataFrame:
+        return sums.select(F.lit(b"").alias("digest"), F.lit(level).alias("level"), "node", "part", "bytes")
+
+    placed = bucketed.where(~apart).groupBy("bucket").applyInPandas(
         _difference_groups(parts), "digest binary, bytes bigint, bucket bigint, part bigint"
     )
     placed = stage_table(placed, "shard-buckets")
     sums = placed.groupBy(F.col("bucket").alias("node"), "part").agg(F.sum("bytes").alias("bytes"))
-    where = placed.select("digest", F.col("bucket").alias("node"), "part")
-    while nodes > 1:
-        nodes = pieces_for(nodes, fan_in)
-        level = sums.withColumn("up", F.pmod("node", F.lit(nodes)))
+    where = placed.select("digest", F.lit(0).alias("level"), F.col("bucket").alias("node"), "part")
+    items, depth = single, 0
+    while nodes > tops:
+        nodes = max(tops, pieces_for(nodes, fan_in))
+        up = F.pmod("node", F.lit(nodes))
+        items = items.union(lumps(sums.where(up == 0), depth))
         level = stage_table(
-            level.groupBy("up").applyInPandas(
+            sums.where(up != 0).withColumn("up", up).groupBy("up").applyInPandas(
                 _difference_parts(parts), "node bigint, part bigint, bytes bigint, up bigint, up_part bigint"
             ),
             "shard-level",
         )
         sums = level.groupBy(F.col("up").alias("node"), F.col("up_part").alias("part")).agg(F.sum("bytes").alias("bytes"))
-        where = where.join(level.select("node", "part", "up", "up_part"), ["node", "part"]).select(
-            "digest", F.col("up").alias("node"), F.col("up_part").alias("part")
+        moved = level.select(F.lit(depth).alias("level"), "node", "part", "up", "up_part")
+        depth += 1
+        where = where.join(moved, ["level", "node", "part"], "left").select(
+            "digest",
+            F.when(F.col("up").isNotNull(), F.lit(depth)).otherwise(F.col("level")).alias("level"),
+            F.coalesce("up", "node").alias("node"),
+            F.coalesce("up_part", "part").alias("part"),
         )
-    return where.select("digest", F.col("part").cast("int").alias("shard"))
+    items = items.union(lumps(sums, depth))
+    top = items.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_difference_top(parts), f"{item}, `all` int, shard int")
+    top = stage_table(top.drop("all"), "shard-top")
+    alone = top.where("level = -1").select("digest", "shard")
+    return alone.union(where.join(top.where("level >= 0").drop("digest", "bytes"), ["level", "node", "part"]).select("digest", "shard"))
 
 
 def balanced_shards(

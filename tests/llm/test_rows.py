@@ -182,6 +182,25 @@ def test_shards(spark):
     assert set(sharding.sharded(documents(spark, rows)).columns) == {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
 
 
+@pytest.mark.parametrize(("n", "buckets", "fan", "share"), [(3000, 500, 1000, 48), (3000, 500, 1000, 3), (6000, 60, 4, 48), (6000, 60, 4, 3)])
+def test_heavy_group_in_many_buckets(spark, n, buckets, fan, share):
+    parts, rng = 24, np.random.default_rng(n)
+    sizes = rng.integers(100, 3000, n).tolist()
+    heavy = sum(sizes) // (share - 1)  # a `share`th of all bytes
+    total = sum(sizes) + heavy
+    rows = [(k.to_bytes(4, "big"), int(b)) for k, b in enumerate([heavy, *sizes])]
+    groups = spark.createDataFrame(rows, "digest binary, bytes bigint").repartition(4)
+    got = {bytes(r.digest): r.shard for r in sharding.shard_of_groups(groups, parts, buckets, fan).collect()}
+    assert set(got) == {d for d, _ in rows}
+    load = collections.Counter()
+    for digest, size in rows:
+        load[got[digest]] += size
+    assert len(load) == parts
+    assert max(load.values()) <= max(heavy, total / parts * 1.01)
+    others = [s for k, s in load.items() if k != got[rows[0][0]]] if heavy > total / parts else list(load.values())
+    assert max(others) - min(others) <= total / parts * 0.01
+
+
 def test_differencing_combines_the_widest_first():
     weights = np.array([[8], [7], [6], [5], [4]])
     partials = np.hstack([weights, np.zeros((5, 1), np.int64)])
