@@ -9,8 +9,9 @@ in slabs of names and sorted there.
 
 Round 1 names anchors by their gram. Unique names leave. An anchor's context is what all its windows
 cover. If a document with a smaller id has the same name and context, all windows of the anchor repeat
-("full"); if only contexts differ, the anchor stays "open". Round 2 doubles: the windows of open anchors
-are named by the pair of names at their start and at `length - HALF`, which overlap and cover the window;
+("full"); if only contexts differ, the anchor stays "open". Round 2 doubles for the windows of open anchors:
+names of HALF bytes become names of twice as many by the pair at the offset of their width, until a last
+pair, at the window's start and at its end less that width, overlaps or touches and so covers the window;
 a window whose name also stands in a smaller document repeats. Bytes covered by repeats are removed.
 
 Each task first decides within its slice of the corpus and sends one entry per name (or the entries of
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from labelloom.llm.common import map_slices, pieces_for, slices, text_batches
 from labelloom.session import stage_table
 
-#: Bytes of a gram that is sampled and of the halves that a window's name is made of.
+#: Bytes of a gram that is sampled and of the first names that a window's name is doubled from.
 GRAM, HALF = 20, 32
 #: Bytes of text to a slab of names, slabs at least, and bytes of text that a task decides on at a time.
 SLAB_BYTES, LEAST_SLABS, SLICE_BYTES = 24 << 20, 24, 1 << 20
@@ -312,9 +313,12 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
             place = at[wanted[anchors]]
             if not len(place):
                 continue
-            half = hashes.fixed(HALF)
-            # the rank pair at the offset that makes both halves cover the window
-            name = _mixed(half[place] * np.uint64(_ODD) + half[place + length - HALF])
+            half = names = hashes.fixed(HALF)
+            width = HALF
+            while 2 * width < length:  # the rank pair at an offset that doubles
+                names, width = _mixed(names[:-width] * np.uint64(_ODD) + names[width:]), 2 * width
+            # the last one at the offset that makes both names cover the window
+            name = _mixed(names[place] * np.uint64(_ODD) + names[place + length - width])
             doc = np.searchsorted(starts, place, "right") - 1
             yield from _send(place, name, None, doc, ids, keys, starts, slabs, half[place])
 

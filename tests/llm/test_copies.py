@@ -108,6 +108,18 @@ def test_removed_bytes(spark, slice_bytes, monkeypatch):
     assert plain(got) == plain(brute_removal(rows))
 
 
+@pytest.mark.parametrize("length", [32, 64, 65, 100, 128, 129, 200])
+def test_removed_bytes_at_other_lengths(spark, length):
+    """Form letters that agree but for a number, at every distance from the ends of a window."""
+    rows = texts()
+    head, tail = prose(300, 60)[:150], prose(301, 60)[:150]
+    for k, (a, b) in enumerate([(150, 150), (40, 40), (66, 33), (33, 66), (90, 90), (130, 20)]):
+        for copy in range(4):
+            rows.append((700 + 10 * k + copy, head[-a:] + f"<{k * 10 + copy % 3:02}>" + tail[:b]))
+    got = suffix_dedup.removal_report(documents(spark, rows), length).collect()
+    assert plain(got) == plain(brute_removal(rows, length))
+
+
 def test_runs_and_bytes(spark):
     text = prose(31, 40)
     rows = [(1, text), (2, "start " + text[10:100] + " end")]
