@@ -7,9 +7,10 @@ takes from it only the rows of terms that the test items use, adds up their freq
 shards, and intersects, shard by shard, the offset-adjusted lists of a window from its rarest term on.
 
 Exact matches are windows of `window` consecutive item words (an item of fewer words is one window);
-near matches are places where the window's rarest distinct terms stand, in any order, within its length and
-`slop` words of the rarest (`slop` None: exact matches only). Neither crosses documents. Items are searched in blocks of bounded bytes, so they may outgrow any
-executor.
+near matches are stretches of the window's length and `slop` words in which at least `NEAR_PERCENT` of all its
+distinct terms stand, in any order (`slop` None: exact matches only). Neither crosses documents. Whichever terms
+are missing, one of the rarest few must be there: stretches are looked for around those. Items are searched in
+blocks of bounded bytes, so they may outgrow any executor.
 
 Defined results: null and empty texts have no words and match nothing; rows are told apart by their place
 in the index, so ids may be null or repeated; repeated items with one id count once; items whose id is null
@@ -30,8 +31,8 @@ from labelloom.session import broadcast_if_small, stage_table
 
 #: Bytes of text in a shard, and of test items that are searched at a time.
 SHARD_BYTES, ITEM_BYTES = 12 << 20, 4 << 20
-#: Distinct terms that a near match needs.
-NEAR_TERMS = 4
+#: Share of a window's distinct terms that a near match needs, and words that may stand between them.
+NEAR_PERCENT, NEAR_SLOP = 80, 10
 INDEX = "shard string, term binary, n bigint, places binary, ids array<bigint>, starts array<int>"
 MATCH = "shard string, no int, item_id string, kind string, start int, end int"
 
@@ -99,20 +100,38 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return stage_table(text_batches(narrow).mapInArrow(build, INDEX), "postings")
 
 
-def _near(places, starts, terms, reach):
-    """Stretches around the rarest term in which all the other terms stand, in the same document."""
-    at = places[terms[0]]
+def _near(places, starts, terms, needed, length):
+    """Stretches of at most `length` words of a document with `needed` of the terms, which come rarest first."""
+    lists = [places[t] for t in terms if t in places]
+    if len(lists) < needed:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    # `needed` terms cannot all be among the last `needed - 1`
+    at = np.unique(np.concatenate(lists[: len(lists) - needed + 1]))
     doc = np.searchsorted(starts, at, "right") - 1
-    low = np.maximum(at - reach, starts[doc])
-    high = np.minimum(at + reach, starts[doc + 1] - 1)
-    for term in terms[1:]:
-        other = places[term]
-        k = np.searchsorted(other, low)
-        good = (k < len(other)) & (other[np.minimum(k, len(other) - 1)] <= high)
-        at, low, high = at[good], low[good], high[good]
+    low, high = np.maximum(at - length + 1, starts[doc]), np.minimum(at + length, starts[doc + 1])
+    count = np.zeros(len(at), np.int64)
+    for left, found in zip(range(len(lists) - 1, -1, -1), lists, strict=True):
+        k = np.searchsorted(found, low)
+        count += found[np.minimum(k, len(found) - 1)] < high
+        count -= (k == len(found)) & (found[-1] < high)
+        good = count + left >= needed
+        at, low, high, count = at[good], low[good], high[good], count[good]
         if not len(at):
-            break
-    return low, high
+            return at, at
+    # every place where a stretch around one of them may begin
+    begin = (at[:, None] - np.arange(length)).ravel()
+    begin = np.unique(begin[begin >= np.repeat(low, length)])
+    end = np.minimum(begin + length, starts[np.searchsorted(starts, begin, "right")])
+    count, first, last = np.zeros(len(begin), np.int64), end.copy(), begin.copy()
+    for found in lists:
+        k = np.searchsorted(found, begin)
+        near = found[np.minimum(k, len(found) - 1)]
+        here = (k < len(found)) & (near < end)
+        count += here
+        first = np.where(here, np.minimum(first, near), first)
+        last = np.where(here, np.maximum(last, near), last)
+    good = count >= needed
+    return first[good], last[good]
 
 
 def _phrase(places, window):
@@ -131,7 +150,7 @@ def _phrase(places, window):
     return at
 
 
-def search(index: DataFrame, items: DataFrame, window: int = 13, slop: int | None = 10, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
+def search(index: DataFrame, items: DataFrame, window: int = 13, slop: int | None = NEAR_SLOP, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
     """Matches (shard, no, item_id, kind, start, end) of items; `end` is exclusive, both in words of the document."""
     spark = index.sparkSession
     items = items.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"))
@@ -187,11 +206,10 @@ def _search_shard(items, names, vocabulary, frequency, window, slop):
                         good = (at >= 0) & (at + size <= starts[np.minimum(doc + 1, len(starts) - 1)])
                         out.setdefault((item, "phrase"), []).append((at[good], at[good] + size))
                 if slop is not None:
-                    near = list(dict.fromkeys(int(piece[o]) for o in order))[:NEAR_TERMS]
-                    if here[near].all():
-                        low, high = _near(places, starts, near, size - 1 + slop)
-                        if len(low):
-                            out.setdefault((item, "near"), []).append((low, high + 1))
+                    near = list(dict.fromkeys(int(piece[o]) for o in order))
+                    low, high = _near(places, starts, near, -(-len(near) * NEAR_PERCENT // 100), size + slop)
+                    if len(low):
+                        out.setdefault((item, "near"), []).append((low, high + 1))
         columns = [[], [], [], [], []]
         for (item, kind), spans in out.items():
             low, high = (np.concatenate([s[c] for s in spans]) for c in (0, 1))
@@ -227,7 +245,7 @@ def _search_shard(items, names, vocabulary, frequency, window, slop):
 
 
 def overlap_report(docs: DataFrame, items: DataFrame, window: int = 13, percent: int = 5, slop: int | None = None, id_column: str = "doc_id") -> DataFrame:
-    """Per document: id, n_words, n_hit, n_items, items, n_near and `contaminated` (hits and at least `percent` of the words)."""
+    """Per document: id, n_words, n_hit, n_items, items, n_near, near_items and `contaminated` (hits and at least `percent` of the words)."""
     index = build_index(docs, id_column)
     found = search(index, items, window, slop)
     rows = index.where("term is null").select(
@@ -240,7 +258,7 @@ def overlap_report(docs: DataFrame, items: DataFrame, window: int = 13, percent:
         F.sum(F.greatest(F.col("end") - F.greatest("start", "reach"), F.lit(0))).alias("n_hit"),
         F.array_sort(F.collect_set("item_id")).alias("items"),
     )
-    near = found.where("kind = 'near'").groupBy("shard", "no").agg(F.count_distinct("item_id").alias("n_near"))
+    near = found.where("kind = 'near'").groupBy("shard", "no").agg(F.array_sort(F.collect_set("item_id")).alias("near_items"))
     return (
         rows.join(hits, ["shard", "no"], "left")
         .join(near, ["shard", "no"], "left")
@@ -249,8 +267,9 @@ def overlap_report(docs: DataFrame, items: DataFrame, window: int = 13, percent:
             "n_words",
             F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-            F.coalesce("n_near", F.lit(0)).alias("n_near"),
+            F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items"),
         )
+        .withColumn("n_near", F.size("near_items").cast("bigint"))
         .withColumn("n_items", F.size("items").cast("bigint"))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent))
     )
@@ -267,6 +286,20 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def near_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The columns of `contamination` with the near matches beside them."""
+    return overlap_report(documents, benchmark, slop=NEAR_SLOP).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+        "n_near",
+        F.array_join("near_items", ",").alias("near_items"),
+    )
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows that are not contaminated, with all their columns; decided on a hash of the row's id and text."""
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", text_column))

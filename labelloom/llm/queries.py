@@ -103,6 +103,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op6_near_matches")
+def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and near matches: the columns of the SQL above and `n_near`, `near_items`."""
+    return decontaminate.near_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_secrets")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))

@@ -127,6 +127,47 @@ def test_near_matches_stand_close_in_any_order(spark):
     assert [report[k].n_items for k in (1, 2, 3, 4)] == [0, 0, 1, 0]
 
 
+def brute_near(rows, items, window=13, slop=10, percent=80):
+    windows = {}
+    for item, text in items:
+        w = words(text)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            windows.setdefault((frozenset(w[k : k + window]), len(w[k : k + window])), set()).add(item)
+    out = []
+    for i, text in rows:
+        w, found = words(text), set()
+        for (terms, size), owners in windows.items():
+            if any(100 * len(terms & set(w[k : k + size + slop])) >= percent * len(terms) for k in range(len(w))):
+                found |= owners
+        names = sorted(str(x) for x in found if x is not None)
+        out.append((i, len(names), ",".join(names)))
+    return out
+
+
+@pytest.mark.parametrize("shard", [decontaminate.SHARD_BYTES, 300])
+def test_near_matches_by_all_terms(spark, shard, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+    rng, rows = random.Random(3), [(i, t) for i, t in texts() if len(t or "") < 4000]
+    passage = [f"rare{k}" for k in range(13)]
+    items = [*benchmark_rows(), (20, " ".join(passage))]
+    for k in range(13):  # any one word replaced
+        rows.append((700 + k, " ".join([*passage[:k], "other", *passage[k + 1 :]])))
+    for k in range(40):  # words lost and put in between, about the share and the reach
+        text = list(passage)
+        for _ in range(rng.randint(1, 4)):
+            text[rng.randrange(13)] = f"w{k}"
+        for _ in range(rng.randint(0, 14)):
+            text.insert(rng.randrange(1, len(text)), f"v{k}")
+        rows.append((800 + k, " ".join(text)))
+    rows.append((900, " ".join(passage[:4])))  # the four rarest alone
+    rows += [(901, " ".join(passage[:7])), (902, " ".join(passage[7:]))]  # never across documents
+    frame = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.near_contamination(documents(spark, rows), frame).cache()
+    assert plain(got.select("doc_id", "n_near", "near_items").collect()) == plain(brute_near(rows, items))
+    exact = got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert plain(exact) == plain(brute_overlap(rows, items))
+
+
 def test_contaminated_rows_go_and_columns_stay(spark):
     items = spark.createDataFrame(benchmark_rows(), "item_id bigint, text string")
     docs = documents(spark)
