@@ -44,6 +44,28 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
             start += step
 
 
+_HELD: list = []
+
+
+def one_per_worker(make: Callable, *key):
+    """`make(*key)`, kept for the tasks that follow in a Python worker; it holds one such object, whichever was asked for last."""
+    if not _HELD or _HELD[0] != (make, key):
+        forget()
+        _HELD[:] = [(make, key), make(*key)]
+    return _HELD[1]
+
+
+def forget() -> None:
+    """Drop that object: tasks of other kinds need the memory."""
+    _HELD.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return what Arrow holds in reserve: Python workers serve many tasks, one after another."""
+    pa.default_memory_pool().release_unused()
+
+
 def map_slices(df: DataFrame, make: Callable[[], Callable], schema: T.StructType | str) -> DataFrame:
     """`mapInArrow` by slices. `make()` runs once in a task and returns `slice -> list of arrays or None`."""
     fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -52,6 +74,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable], schema: T.StructType
     def run(batches):
         apply = make()
         for piece in slices(batches):
+            give_back()
             columns = apply(piece)
             if columns is not None:
                 arrays = [
@@ -137,9 +160,12 @@ __all__ = [
     "SLICE_ROWS",
     "connected_components",
     "cut_lineage",
+    "forget",
     "fresh",
+    "give_back",
     "map_slices",
     "numbered_slots",
+    "one_per_worker",
     "pieces_for",
     "stage_table",
     "table",

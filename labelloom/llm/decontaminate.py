@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import pieces_for, slices, text_batches
+from labelloom.llm.common import forget, give_back, pieces_for, slices, text_batches
 from labelloom.session import broadcast_if_small, stage_table
 
 #: Bytes of text in a shard, and of test items that are searched at a time.
@@ -46,14 +46,28 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(WORD_BYTES).split() if text else []
 
 
+def coded_words(texts: list[str | None]) -> tuple[list[int], pa.DictionaryArray]:
+    """Words in each text and the codes of all of them in turn; words are cut out of one buffer, none is an object."""
+    raw = [t.encode("utf-8", "replace").translate(WORD_BYTES) if t else b"" for t in texts]
+    data = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
+    inside = data != 0x20
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, end = edges[::2], edges[1::2]
+    offsets = np.zeros(len(begin) + 1, np.int32)
+    np.cumsum(end - begin, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    upto = np.searchsorted(begin, np.cumsum([len(r) + 1 for r in raw]))
+    return np.diff(upto, prepend=0).tolist(), words.dictionary_encode()
+
+
 def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The staged positional index of all words of all texts."""
 
-    def shard_rows(ids: list, lengths: list[int], words: list[bytes]):
+    def shard_rows(ids: list, lengths: list[int], words: list[pa.DictionaryArray]):
         name = uuid.uuid4().hex
         starts = np.zeros(len(ids) + 1, np.int32)
         np.cumsum(lengths, out=starts[1:])
-        coded = pa.array(words, pa.binary()).dictionary_encode()
+        coded = pa.chunked_array(words).unify_dictionaries().combine_chunks()
         codes = coded.indices.to_numpy()
         order = np.argsort(codes, kind="stable").astype("<i4")
         counts = np.bincount(codes, minlength=len(coded.dictionary)).astype(np.int64)
@@ -82,17 +96,18 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         )
 
     def build(batches):
+        forget()
         ids, lengths, words, held = [], [], [], 0
-        for piece in slices(batches):
+        for piece in slices(batches, size=1 << 20):
+            count, coded = coded_words(piece.column(1).to_pylist())
             ids += piece.column(0).to_pylist()
-            for text in piece.column(1).to_pylist():
-                found = words_of(text)
-                lengths.append(len(found))
-                words += found
-                held += len(text or "")
+            lengths += count
+            words.append(coded)
+            held += piece.nbytes
             if held >= SHARD_BYTES:
                 yield from shard_rows(ids, lengths, words)
                 ids, lengths, words, held = [], [], [], 0
+                give_back()
         if ids:
             yield from shard_rows(ids, lengths, words)
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import connected_components, cut_lineage, map_slices, slices, text_batches
+from labelloom.llm.common import connected_components, cut_lineage, forget, map_slices, slices, text_batches
 from labelloom.session import broadcast_if_small, stage_table
 
 #: Signature words of 64 bits, and the bounds of the sketch's size.
@@ -71,6 +71,7 @@ def _sketch(texts: DataFrame, n: int, bits: int) -> np.ndarray:
     slabs = 1 << max(0, bits - 14)
 
     def count(batches):
+        forget()
         cells = np.zeros(1 << bits, np.int64)
         for piece in slices(batches):
             found = [ngram_set(t, n) for t in piece.column(0).to_pylist()]

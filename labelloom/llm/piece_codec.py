@@ -10,7 +10,6 @@ Defined results: null text is the empty text (begin and end id only); null or re
 
 from __future__ import annotations
 
-import functools
 import re
 import struct
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import map_slices
+from labelloom.llm.common import map_slices, one_per_worker
 
 SPACE = "▁"
 #: Entries that a worker keeps at most of the pair tests and, twice, of the encoded chunks up to a length.
@@ -154,10 +153,9 @@ class PieceCodec:
         return text
 
 
-@functools.lru_cache(maxsize=1)
 def codec_of(model: bytes) -> PieceCodec:
     """One codec in a worker process, so that its stores serve all the tasks it runs."""
-    return PieceCodec(model)
+    return one_per_worker(PieceCodec, model)
 
 
 def encode_texts(

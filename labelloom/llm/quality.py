@@ -17,7 +17,6 @@ or without a document are no samples; without any labelled row every document ha
 
 from __future__ import annotations
 
-import functools
 import math
 import operator
 import pickle
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelloom.llm.common import map_slices
+from labelloom.llm.common import map_slices, one_per_worker
 from labelloom.session import broadcast_if_small, stage_table
 
 #: Labelled rows that a fit takes at most, texts that a feature needs, and partitions of a gradient step.
@@ -55,7 +54,7 @@ def hashed(kind: str, value: str) -> int:
 
 def shape(word: str) -> str:
     """Letters as A or a, digits as 0, other characters as they are; runs of one kind shortened."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return _RUN.sub(r"\1+", kinds)
 
 
@@ -139,8 +138,11 @@ class OrdinalModel:
         return math.fsum(parts)
 
 
-@functools.lru_cache(maxsize=1)
 def _model_of(data: bytes) -> OrdinalModel:
+    return one_per_worker(_loaded, data)
+
+
+def _loaded(data: bytes) -> OrdinalModel:
     return OrdinalModel(*pickle.loads(data))
 
 

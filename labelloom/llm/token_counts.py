@@ -15,7 +15,6 @@ Defined results: null text counts 0 tokens and 0 bytes; ids may be null or repea
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import unicodedata
@@ -23,7 +22,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import map_slices
+from labelloom.llm.common import map_slices, one_per_worker
 
 #: Bounds of the stores of one worker: states, transitions, pair tests, fields (twice) and their length.
 STATES_KEPT, MOVES_KEPT, PAIRS_KEPT, FIELDS_KEPT, FIELD_CHARS = 200_000, 600_000, 400_000, 400_000, 32
@@ -287,9 +286,8 @@ def _fields(chunk: str) -> list[str]:
     return _SPLIT.split(chunk)
 
 
-@functools.lru_cache(maxsize=1)
 def transducer_of(tokenizer_json: bytes) -> CountingTransducer:
-    return CountingTransducer(tokenizer_json)
+    return one_per_worker(CountingTransducer, tokenizer_json)
 
 
 def count_tokens(df: DataFrame, tokenizer_json: bytes, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
