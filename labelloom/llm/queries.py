@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from labelloom.llm import (
+    centroids,
     decontaminate,
     ngram_join,
     piece_codec,
+    prefix_trie,
     quality,
     secrets,
     sharding,
     suffix_dedup,
+    tensor_minhash,
     token_counts,
     topk,
     warc,
@@ -141,27 +144,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
-@query(
-    "op2_ngram_join",
-    r"""
+SIMILAR_SQL = r"""
     WITH RECURSIVE w AS (
         SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
     ), s AS (
-        SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS g
-        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + least({n}, len(w)) - 1], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {n} + 1, 1) + 1)) AS i FROM w WHERE len(w) > 0)
     ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
     p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-    l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+    l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {percent} * (a.n + b.n - c)),
     r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.x, r.root FROM r JOIN l ON l.y = r.doc_id),
     m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
-    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
-    """,
-)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id{more} FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
+    """
+
+
+@query("op2_ngram_join", SIMILAR_SQL.format(n=3, percent=90, more=""))
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
 
+@query("op13_tensor_minhash", SIMILAR_SQL.format(n=2, percent=80, more=", d.doc_id = component_id AS kept"))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op5_suffix_dedup",
     """
@@ -185,3 +193,94 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
+def _crc32_sql(column: str) -> str:
+    """Unsigned CRC-32 of a number's decimal digits; its table for half bytes follows from the polynomial."""
+    table = []
+    for entry in range(16):
+        for _ in range(4):
+            entry = entry >> 1 ^ (0xEDB88320 if entry & 1 else 0)
+        table.append(entry)
+    halves = (
+        f"flatten(list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda d: [CAST(ascii(d) & 15 AS BIGINT), CAST(ascii(d) >> 4 AS BIGINT)]))"
+    )
+    step = f"xor(crc >> 4, CAST({table} AS BIGINT[])[1 + (xor(crc, half) & 15)])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {halves}), lambda crc, half: {step}), CAST(4294967295 AS BIGINT))"
+
+
+@query(
+    "op11_prefix_trie",
+    rf"""
+    WITH t AS (
+        SELECT conv_id AS c, turn, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS name,
+            len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), own AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, name) AS i, name, words FROM t),
+    ids AS (SELECT c, c - c % 20 AS head, {_crc32_sql("c")} % 4 AS h FROM (SELECT DISTINCT c FROM own)),
+    rebuilt AS (
+        SELECT ids.c, i, 0 AS part, name, words FROM ids JOIN own ON own.c = head AND i <= h
+        UNION ALL SELECT ids.c, i, 1, name, words FROM ids JOIN own ON own.c = ids.c AND i > h
+    ), paths AS (
+        SELECT ids.c, coalesce(list(name ORDER BY part, i) FILTER (name IS NOT NULL), []) AS names, list(words ORDER BY part, i) AS words
+        FROM ids LEFT JOIN rebuilt USING (c) GROUP BY ids.c
+    ), prefixes AS (
+        SELECT c, d, array_to_string(names[1:d], '') AS node, array_to_string(names[1:d - 1], '') AS above, len(names) = d AS ends,
+            CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words
+        FROM (SELECT *, unnest(range(0, len(names) + 1)) AS d FROM paths)
+    ), nodes AS (
+        SELECT node, min(c) AS conv_id, d AS depth, any_value(above) AS above, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+            sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+        FROM prefixes GROUP BY node, d
+    ), children AS (SELECT above AS node, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+    marked AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (node, depth)),
+    totals AS (
+        SELECT a.node, a.depth, CAST(count(*) FILTER (b.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(b.saved) AS BIGINT) AS saved_tokens
+        FROM marked a JOIN marked b ON b.depth >= a.depth AND starts_with(b.node, a.node) GROUP BY ALL
+    )
+    SELECT m.conv_id, m.depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+    FROM marked m JOIN totals USING (node, depth) LEFT JOIN nodes p ON m.depth > 0 AND p.depth = m.depth - 1 AND p.node = m.above
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_report(table(spark, sf_dir, "conversations"))
+
+
+def _lloyd_sql(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: str = "3") -> str:
+    """Ten rounds over (vector, dimension) rows, one pair of steps each."""
+    steps = [
+        f"""v AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        )""",
+        f"x AS MATERIALIZED (SELECT r, unnest(range(1, {dims + 1})) AS d, unnest(x) AS x FROM v)",
+        f"""f AS (SELECT r, row_number() OVER (ORDER BY sha256(concat('{seed}:', vec_id))) - 1 AS k FROM v
+            QUALIFY k < {k})""",
+        "c0 AS MATERIALIZED (SELECT k, d, x AS c FROM f JOIN x USING (r))",
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"""a{n} AS MATERIALIZED (
+                SELECT r, arg_min(k, (s, k)) AS k, min(s) AS s
+                FROM (SELECT r, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS s FROM x JOIN c{n} USING (d) GROUP BY r, k) GROUP BY r
+            )"""
+        )
+        if n < rounds:
+            steps.append(
+                f"""c{n + 1} AS MATERIALIZED (
+                    SELECT k, d, coalesce(m, c) AS c FROM c{n}
+                    LEFT JOIN (SELECT k, d, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM a{n} JOIN x USING (r) GROUP BY k, d) USING (k, d)
+                )"""
+            )
+    return f"""
+    WITH {", ".join(steps)},
+    h AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+    SELECT vec_id, CAST(k AS INTEGER) AS cluster, s AS distance, CAST(sum(s) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+        CAST(sum(s) OVER () AS BIGINT) AS inertia, centroid_sha256
+    FROM a{rounds} JOIN v USING (r) JOIN h USING (k)
+    """
+
+
+@query("op12_centroid_clusters", _lloyd_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))

@@ -14,9 +14,10 @@ from tests.llm.test_search import brute_overlap
 
 def test_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert sorted(set(numbers)) == list(range(1, 11))
+    assert sorted(set(numbers)) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert set(ORACLES) == {"op2_ngram_join", "op4_top_k", "op5_suffix_dedup", "op6_decontaminate", "op8_warc"}
+    with_sql = {"op2_ngram_join", "op4_top_k", "op5_suffix_dedup", "op6_decontaminate", "op8_warc", "op11_prefix_trie", "op12_centroid_clusters", "op13_tensor_minhash"}
+    assert set(ORACLES) == with_sql
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "contamination", "secrets", "encoding"]
 
 
