@@ -170,7 +170,7 @@ def test_no_documents(spark):
 
 def test_tables_come_from_few_minhashes():
     grams = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    parts = tensor_minhash.parts_of(grams)
+    parts = tensor_minhash.parts_of(tensor_minhash.minhashes(grams))
     assert len(parts) == 2 * tensor_minhash.SIDE
     keys = tensor_minhash.table_keys(parts[None])[0]
     assert len(set(keys.tolist())) == tensor_minhash.SIDE**2
@@ -190,7 +190,7 @@ def test_share_of_pairs_found():
         hit = 0
         for _ in range(trials):
             pool = tensor_minhash._mixed(rng.integers(0, 2**63, 2 * size - common).astype(np.uint64))
-            keys = tensor_minhash.table_keys(np.stack([tensor_minhash.parts_of(pool[:size]), tensor_minhash.parts_of(pool[-size:])]))
+            keys = tensor_minhash.table_keys(np.stack([tensor_minhash.parts_of(tensor_minhash.minhashes(p)) for p in (pool[:size], pool[-size:])]))
             hit += bool((keys[0] == keys[1]).any())
         return hit / trials
 
