@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import blank_to_null, clean_html, normalize_doi, strip
@@ -124,15 +124,19 @@ def anti_join_positives(
 def _suffix_matches(corpus: DataFrame, positives: DataFrame, key: str, doi: str, positive_doi: str) -> DataFrame:
     """Keys of corpus rows whose DOI ends with a listed DOI.
 
-    Only suffixes as long as some listed DOI can match, so each row is expanded to the distinct
-    listed lengths (a few dozen) and matched by equality. Null keys and blank entries match nothing.
+    A row has one blocking key, its last characters in the shortest listed length. A block holds the lengths
+    of the listed DOIs that end in its key; only rows of a block go on, expanded to these lengths and
+    matched by equality. Null keys and blank entries match nothing.
     """
     listed = positives.select(normalize_doi(positive_doi).alias("__suffix")).where("__suffix is not null").distinct()
-    lengths = listed.agg(F.collect_set(F.length("__suffix")).alias("__lengths"))
-    trimmed = corpus.select(key, normalize_doi(doi).alias("__doi")).where("__doi is not null")
-    # `lengths` is one row holding at most as many numbers as the longest DOI has characters.
-    expanded = trimmed.withColumn("__len", F.explode(lengths.scalar())).where("__len <= length(__doi)")
-    suffixes = expanded.select(key, F.expr("right(__doi, __len)").alias("__suffix"))
+    listed = cut_lineage(listed)
+    shortest = listed.agg(F.coalesce(F.min(F.length("__suffix")), F.lit(1))).scalar()
+    tail = lambda c: F.right(F.col(c), shortest).alias("__tail")
+    # a block has at most as many lengths as the longest DOI has characters
+    blocks = listed.groupBy(tail("__suffix")).agg(F.collect_set(F.length("__suffix")).alias("__lengths"))
+    trimmed = corpus.select(key, normalize_doi(doi).alias("__doi")).where("__doi is not null").select("*", tail("__doi"))
+    expanded = trimmed.join(broadcast_if_small(blocks), "__tail").withColumn("__len", F.explode("__lengths"))
+    suffixes = expanded.where("__len <= length(__doi)").select(key, F.expr("right(__doi, __len)").alias("__suffix"))
     return suffixes.join(broadcast_if_small(listed), "__suffix", "left_semi").select(key).distinct()
 
 
@@ -399,6 +403,28 @@ def stage_counts(stages: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counted)
 
 
+class StageCounts:
+    """Row counts of the stages of a build, observed while its one job runs.
+
+    `mark` passes a stage on and counts what goes through it; `counts` is known once the job that the marks are
+    part of has ended. Nothing is read again for the counts. A stage that is computed twice, in two jobs or
+    after an executor was lost, is reported by the first complete run.
+    """
+
+    def __init__(self):
+        self.observed: dict[str, Observation] = {}
+
+    def mark(self, name: str, df: DataFrame) -> DataFrame:
+        if name in self.observed:
+            raise ValueError(f"stage {name} is marked twice")
+        self.observed[name] = Observation(f"stage-{name}")
+        return df.observe(self.observed[name], F.count(F.lit(1)).alias("n_rows"))
+
+    def counts(self, spark: SparkSession) -> DataFrame:
+        rows = [(name, int(seen.get["n_rows"])) for name, seen in self.observed.items()]
+        return spark.createDataFrame(rows, "stage string, n_rows bigint")
+
+
 def eda_counts(df: DataFrame, recent: int = 2021) -> DataFrame:
     """Null and recency counts of a curated list in one scan (year as int)."""
     article = F.col("item_type") == "journalArticle"

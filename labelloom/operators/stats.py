@@ -169,3 +169,25 @@ def nemenyi_pairs(
     # The range statistic is the rank difference over the error without the factor of two samples.
     tested = named.withColumn("p_value", studentized_range_tail(F.col("q") * F.lit(math.sqrt(2.0)), F.col("n_models")))
     return tested.withColumn("significant", F.col("p_value") < alpha).drop("n_models")
+
+
+def critical_groups(
+    df: DataFrame, model: str = "model", fold: str = "fold", value: str = "value", alpha: float = 0.05
+) -> DataFrame:
+    """Bars of a critical-difference diagram: `(group, model, mean_rank, n_models)`, one row a member.
+
+    A group is a longest run of models, by mean rank, whose first and last differ by no more than the critical
+    difference. Both ends move up together: the last model within reach of each model is a range frame, and a
+    run that ends where the run before it does lies inside that one. A table of models, a row each.
+    """
+    ranks = mean_ranks(df, model, fold, value)
+    size = ranks.agg(F.count(F.lit(1)).alias("k"), F.max("n_folds").alias("n"))
+    critical = critical_range(alpha, F.greatest("k", F.lit(2)))
+    reach = size.select(critical * F.sqrt(F.col("k") * (F.col("k") + 1) / (F.lit(6.0) * F.col("n")))).first()
+    one = Window.partitionBy(F.lit(0))  # the few rows of the models
+    placed = cut_lineage(ranks.withColumn("pos", F.row_number().over(one.orderBy("mean_rank", model))))
+    last = F.expr(f"max(pos) over (partition by 0 order by mean_rank range between current row and {float(reach[0] or 0.0)!r}D following)")
+    runs = placed.withColumn("last", last).withColumn("before", F.coalesce(F.lag("last").over(one.orderBy("pos")), F.lit(0)))
+    runs = runs.where((F.col("last") > F.col("before")) & (F.col("last") > F.col("pos")))
+    runs = runs.withColumn("group", F.row_number().over(one.orderBy("pos"))).select("group", F.explode(F.sequence("pos", "last")).alias("pos"), (F.col("last") - F.col("pos") + 1).alias("n_models"))
+    return runs.join(placed, "pos").select("group", model, "mean_rank", "n_models")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelloom.session import null_safe_join, stage_table
+
 
 def write_shards(df: DataFrame, path: str, shards: int | None = None) -> None:
     """Files of the advised size, or a set number of them (four in small local sets)."""
@@ -23,21 +25,50 @@ def write_cleaned(df: DataFrame, path: str, as_csv: bool = False) -> None:
         writer.parquet(path)
 
 
+def commit_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Replace the partitions that `df` has rows of, and no others; a repeated call changes nothing.
+
+    Commit rows (partition, rows) beside the table are withdrawn before the data are replaced and written
+    after it, so a partition whose write was cut short has none and is not read (`committed`).
+    """
+    by = list(by)
+    staged = stage_table(df, "partitions")
+    size = staged.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
+    commits = f"{path.rstrip('/')}.commits"
+
+    def replace(rows: DataFrame, to: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(to)
+
+    replace(size.withColumn("n_rows", F.lit(-1).cast("bigint")), commits)
+    replace(staged.hint("rebalance", *by), path)
+    replace(size, commits)
+
+
+def committed(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
+    """The rows of `path` in committed partitions; columns that only some files have are filled up."""
+    commits = spark.read.parquet(f"{path.rstrip('/')}.commits").where("n_rows >= 0").select(*by)
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    return null_safe_join(rows, F.broadcast(commits), by, "left_semi")  # a row for each partition
+
+
 def write_folds(splits: DataFrame, path: str) -> None:
-    splits.hint("rebalance", "run", "fold").write.mode("overwrite").partitionBy("run", "fold").parquet(path)
+    commit_partitions(splits, path, ["run", "fold"])
 
 
 def write_test_folds(test_rows: DataFrame, path: str) -> None:
-    test_rows.hint("rebalance", "run", "fold").write.mode("overwrite").partitionBy("run", "fold").parquet(path)
+    commit_partitions(test_rows, path, ["run", "fold"])
 
 
-def append_metrics(rows: DataFrame, path: str) -> None:
-    """Append result rows; new columns are allowed."""
-    rows.write.mode("append").parquet(path)
+def append_metrics(rows: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """Append result rows; new columns are allowed. With `by`, rows of the same run replace what it wrote before."""
+    if by:
+        commit_partitions(rows, path, by)
+    else:
+        rows.write.mode("append").parquet(path)
 
 
 def write_predictions(scored: DataFrame, path: str, by: Sequence[str] = ("model", "loss_type", "run", "fold")) -> None:
-    scored.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    commit_partitions(scored, path, by)
 
 
 def wide_predictions(scored: DataFrame, keys: Sequence[str], labels: Sequence[str], label: str = "label") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
-from labelloom.sources import records
+from labelloom.sources import key_index
 
 
 def ingest_new(
@@ -20,20 +20,14 @@ def ingest_new(
 ) -> StreamingQuery:
     """Append parsed responses whose key is not stored yet; runs over what has landed and stops.
 
-    Each micro-batch is matched against the store with an anti-join. A replayed batch finds its own
-    rows in the store and adds nothing, so an interrupted run can simply be started again.
+    Each micro-batch opens only those files of the store that may hold one of its keys (`key_index`). A
+    replayed batch finds its own rows in the store and adds nothing, so an interrupted run can simply be
+    started again.
     """
     lines = spark.readStream.text(landing).withColumnRenamed("value", "payload")
 
     def add(batch: DataFrame, _batch_id: int) -> None:
-        incoming = parse(batch).dropDuplicates([key])
-        try:
-            stored = spark.read.parquet(store)
-        except Exception as error:  # the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            stored = incoming.limit(0)
-        records.skip_existing(incoming, stored, key).write.mode("append").parquet(store)
+        key_index.append_new(parse(batch), store, key)
 
     return (
         lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import text, vectors
 from labelloom.functions.vectors import cosine_similarity, paraphrase_gate
 from labelloom.operators import corpus as ops
+from labelloom.session import stage_table
 from suite.adapters import CORPUS, LABELS, POSITIVES, PUBS, corpus, positives, pubs, table, texts, with_
 from suite.registry import query, rounded
 
@@ -500,6 +501,25 @@ def _(spark, sf):
     return ops.augment_union(docs.select("doc_id", "text", F.col("quality").alias("labels")), synthetic, "labels")
 
 
+@query(
+    "pipeline_counts",
+    with_(PUBS)
+    + """SELECT 'all' AS stage, count(*) AS n_rows FROM pubs UNION ALL SELECT 'article', count(*) FROM pubs WHERE item_type = 'journalArticle'
+    UNION ALL SELECT 'complete', count(*) FROM pubs WHERE item_type = 'journalArticle' AND title IS NOT NULL AND abstract IS NOT NULL AND doi IS NOT NULL
+    UNION ALL SELECT 'labelled', count(*) FROM pubs WHERE item_type = 'journalArticle' AND title IS NOT NULL AND abstract IS NOT NULL AND doi IS NOT NULL
+        AND (quality = 1 OR toxic = 1)""",
+)
+def _(spark, sf):
+    """Counts of a build's stages from the one job that writes its result."""
+    seen = ops.StageCounts()
+    rows = seen.mark("all", pubs(spark, sf))
+    rows = seen.mark("article", ops.filter_item_type(rows))
+    rows = seen.mark("complete", ops.filter_complete(rows))
+    rows = seen.mark("labelled", ops.is_pos(rows, LABELS))
+    stage_table(rows, "labelled")
+    return seen.counts(spark)
+
+
 @query(
     "stage_counts",
     with_(PUBS, CONFLICTS)

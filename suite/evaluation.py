@@ -43,6 +43,29 @@ def _(spark, sf):
     return folds.stratified_kfold(pubs(spark, sf), "doc_id", LABELS, 5, 2, 42).select("doc_id", "run", "labelset", "fold")
 
 
+TAGS = [f"src{k}" for k in range(20)] + ["quality", "toxic"]
+TAGGED = "tagged AS (SELECT p.doc_id, " + ", ".join(
+    [f"CASE WHEN p.doc_id * 7919 % 1009 % {7 + k} = 0 THEN 1 ELSE 0 END AS src{k}" for k in range(20)] + ["quality", "toxic"]
+) + " FROM pubs p)"
+
+
+@query(
+    "quota_folds",
+    with_(PUBS, TAGGED)
+    + "SELECT run, label, n_pos, TRUE AS balanced, TRUE AS close_to_share FROM (VALUES (0), (1)) r(run) CROSS JOIN ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS label, CAST(sum({t}) AS BIGINT) AS n_pos FROM tagged" for t in TAGS)
+    + ")",
+)
+def _(spark, sf):
+    """22 labels, nearly as many label sets as rows: fold counts of every label."""
+    marks = [F.when(F.col("doc_id") * 7919 % 1009 % (7 + k) == 0, 1).otherwise(0).alias(f"src{k}") for k in range(20)]
+    data = pubs(spark, sf).select("doc_id", *marks, "quality", "toxic")
+    found = folds.label_balance(folds.quota_kfold(data, "doc_id", TAGS, 5, 2), TAGS, 5)
+    share = F.col("n_pos") / 5
+    close = (F.col("least") > share - 3) & (F.col("most") < share + 3)
+    return found.select("run", "label", "n_pos", (F.col("most") - F.col("least") <= 3).alias("balanced"), close.alias("close_to_share"))
+
+
 @query("train_dev_split", with_(PUBS, FOLDS) + "SELECT doc_id, run, fold, split FROM splits")
 def _(spark, sf):
     return _splits(spark, sf).select("doc_id", "run", "fold", "split")

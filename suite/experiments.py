@@ -321,13 +321,38 @@ def _(spark, sf):
 @query(
     "nemenyi_pairs",
     with_(FOLD_RUNS, TIED)
-    + """, m AS (SELECT model, avg(rank) AS r FROM ranks GROUP BY model)
+    + """, m AS (SELECT model, avg(rank) AS r FROM ranks GROUP BY model),
+    qs AS (SELECT a.model AS model_a, b.model AS model_b, k, abs(a.r - b.r) / sqrt(k * (k + 1) / (6 * n)) AS q FROM m a JOIN m b ON a.model < b.model, size),
+    grid AS (SELECT *, -9 + i * 0.002e0 AS z, q * sqrt(2.0e0) AS w FROM qs, (SELECT unnest(range(0, 9001)) AS i)),
+    below AS (
+        SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) AS f,
+            sum(exp(-z * z / 2)) OVER o / sqrt(2 * pi()) * 0.002e0 - exp(-z * z / 2) / sqrt(2 * pi()) * 0.001e0 AS c,
+            sum(exp(-(z - w) * (z - w) / 2)) OVER o / sqrt(2 * pi()) * 0.002e0 - exp(-(z - w) * (z - w) / 2) / sqrt(2 * pi()) * 0.001e0 AS d
+        FROM grid WINDOW o AS (PARTITION BY model_a, model_b ORDER BY i)
+    ), tails AS (SELECT model_a, model_b, any_value(q) AS q, 1 - sum(k * f * (c - d) ** (k - 1)) * 0.002e0 AS p FROM below GROUP BY model_a, model_b)
     SELECT a.model AS model_a, b.model AS model_b, round(abs(a.r - b.r), 8) AS rank_diff, round(2.728e0 * sqrt(k * (k + 1) / (6 * n)), 8) AS critical_diff,
-      round(abs(a.r - b.r) / sqrt(k * (k + 1) / (6 * n)), 8) AS q, abs(a.r - b.r) > 2.728e0 * sqrt(k * (k + 1) / (6 * n)) AS significant
-    FROM m a JOIN m b ON a.model < b.model, size""",
+      round(q, 8) AS q, abs(a.r - b.r) > 2.728e0 * sqrt(k * (k + 1) / (6 * n)) AS significant, round(p, 6) AS p_value
+    FROM m a JOIN m b ON a.model < b.model JOIN tails ON model_a = a.model AND model_b = b.model, size""",
 )
 def _(spark, sf):
-    return rounded(stats.nemenyi_pairs(_tied(spark, sf)).drop("p_value"), "rank_diff", "critical_diff", "q")
+    pairs = rounded(stats.nemenyi_pairs(_tied(spark, sf)), "rank_diff", "critical_diff", "q")
+    return rounded(pairs, "p_value", digits=6)
+
+
+@query(
+    "critical_groups",
+    with_(FOLD_RUNS, TIED)
+    + """, m AS (SELECT model, avg(rank) AS r FROM ranks GROUP BY model),
+    p AS (SELECT model, r, row_number() OVER (ORDER BY r, model) AS pos FROM m),
+    e AS (SELECT a.pos, max(b.pos) AS last FROM p a JOIN p b ON b.r >= a.r AND b.r <= a.r + (SELECT 2.728e0 * sqrt(k * (k + 1) / (6 * n)) FROM size) GROUP BY a.pos),
+    g AS (
+        SELECT pos, last, row_number() OVER (ORDER BY pos) AS grp FROM e
+        WHERE last > pos AND NOT EXISTS (SELECT 1 FROM e o WHERE o.pos < e.pos AND o.last >= e.last)
+    )
+    SELECT CAST(grp AS INTEGER) AS "group", model, round(r, 8) AS mean_rank, CAST(last - g.pos + 1 AS INTEGER) AS n_models FROM g JOIN p ON p.pos BETWEEN g.pos AND last""",
+)
+def _(spark, sf):
+    return rounded(stats.critical_groups(_tied(spark, sf)), "mean_rank")
 
 
 # --- trial logs ------------------------------------------------------------------------------------
