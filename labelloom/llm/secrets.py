@@ -1,6 +1,6 @@
 """Secret scan: base patterns and a comparison of two character Markov models, in DataFrame functions only.
 
-Base spans are given patterns. Beyond them, each long token that no base span touches is scored by the
+Base spans are given patterns. Beyond them, each long token of what base spans leave of the text is scored by the
 log-likelihood ratio per step of two first-order Markov models over its characters: random strings
 against ordinary identifiers. Both are trained on labelled samples of the same corpus: the values that
 base patterns find, and the other tokens that look like identifiers. Their transition counts come from
@@ -8,6 +8,8 @@ all rows (combined before the shuffle) and number at most the square of the alph
 
 A span's place follows from the texts between matches: `split` gives them, `regexp_extract_all` the
 matches, and a running sum of their lengths the start of each. Positions are code points, ends exclusive.
+Long texts are cut into pieces of some thousand characters, after a line break or a blank that no match can
+cross, and each piece is searched on its own, so the work follows the length of a text, however many spans it has.
 
 Defined results: null text is the empty text; overlapping base spans of different kinds all stay; equal
 starts are ordered as the kinds are listed; rows pass through whatever their ids; without any labelled
@@ -38,11 +40,14 @@ ORDER = tuple(k for k, _, _ in KINDS) + (MARKOV,)
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: Tokens that the models judge, and the shorter ones that ordinary identifiers are learned from.
 TOKEN, IDENTIFIER = (r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % n for n in (20, 12))
-ANY_BASE = "|".join(f"(?:{p})" for _, p, _ in KINDS)
 #: The alphabet's characters have codes from here on, this many.
 FIRST_CODE, CODES = 43, 80
 #: Log-likelihood ratio per step from which a token counts as random.
 LEAST_RATIO = 0.5
+#: Characters from which a text is cut, and its pieces: they end where no pattern matches across, after a line
+#: break or after a blank that has no `:` or `=` next to it or beyond other blanks.
+PIECE_CHARS = 4_096
+PIECE = rf"(?s).{{0,{PIECE_CHARS}}}.*?(?:\n|(?<=[^:=\x20])\x20(?=[^:=\x20])|\z)"
 #: Added to each transition count.
 SMOOTHING = 0.5
 
@@ -79,25 +84,65 @@ def placed(text: Column, pattern: str, group: int = 0, hints: tuple[str, ...] =
     return F.when(some & F.regexp_like(text, F.lit(pattern)), run["out"]).otherwise(zero["out"])
 
 
+def pieces(text: Column) -> Column:
+    """(at, text) of the pieces of a text, in order; short texts are one piece."""
+    one = F.array(F.struct(F.lit(0).alias("at"), text.alias("text")))
+    cut = F.filter(F.regexp_extract_all(text, F.lit(f"({PIECE})"), F.lit(1)), lambda p: p != "")
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,text:string>>").alias("out"))
+    run = F.aggregate(
+        cut,
+        none,
+        lambda acc, p: F.struct(
+            (acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), p.alias("text")))).alias("out")
+        ),
+    )
+    return F.when(F.length(text) <= PIECE_CHARS, one).otherwise(run["out"])
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks over the spans, which are in order of their starts."""
+    run = F.aggregate(
+        spans,
+        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
+        lambda acc, x: F.struct(
+            F.concat(
+                acc["out"],
+                F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))),
+                F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], acc["at"]), F.lit(0))),
+            ).alias("out"),
+            F.greatest(acc["at"], x["end"]).alias("at"),
+        ),
+    )
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(run["out"], F.substring(text, run["at"] + 1, F.length(text))))
+
+
+def _before(a: Column, b: Column) -> Column:
+    """Order of spans: by start, then by kind."""
+    return F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
+
+
 def base_spans(text: Column, kind: str) -> Column:
     pattern, least = next((p, n) for k, p, n in KINDS if k == kind)
     found = placed(text, pattern, 1 if kind == "assign" else 0, HINTS.get(kind, ()))
     return F.filter(found, lambda x: F.length(x["value"]) >= least)
 
 
-def with_base(docs: DataFrame, text_column: str) -> DataFrame:
-    """Adds `__text` and `__base`: kind number, start, end and value of every base span, in order."""
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    out = docs.withColumn("__text", text)
-    for number, kind in enumerate(ORDER[:-1]):
-        fields = [F.lit(number).alias("kind")]
-        spans = F.transform(
-            base_spans(F.col("__text"), kind),
-            lambda x: F.struct(*fields, x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")),  # noqa: B023
-        )
-        out = out.withColumn(f"__{kind}", spans)
-    base = F.array_sort(F.concat("__assign", "__access", "__hex"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
-    return out.withColumn("__base", F.when(F.size("__assign") + F.size("__access") + F.size("__hex") > 0, base).otherwise(F.col("__assign")))
+def with_base(docs: DataFrame, text_column: str) -> tuple[DataFrame, str, str]:
+    """Adds the pieces of each text with their base spans (kind number, start, end, value), in order, and the text without null; and both names."""
+    parts, text = fresh(docs.columns, "__parts"), fresh(docs.columns, "__text")
+
+    def based(piece: Column) -> Column:
+        kinds = [
+            F.transform(
+                base_spans(piece["text"], kind),
+                lambda x: F.struct(F.lit(number).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")),  # noqa: B023
+            )
+            for number, kind in enumerate(ORDER[:-1])
+        ]
+        return F.struct(piece["at"].alias("at"), piece["text"].alias("text"), F.array_sort(F.concat(*kinds), _before).alias("base"))
+
+    out = docs.withColumn(text, F.coalesce(F.col(text_column).cast("string"), F.lit("")))
+    return out.withColumn(parts, F.transform(pieces(F.col(text)), based)), parts, text
 
 
 def transitions(token: Column) -> Column:
@@ -107,15 +152,19 @@ def transitions(token: Column) -> Column:
 
 def labelled_tokens(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """(token, random): values of base spans as random samples, other identifier-like words as ordinary ones."""
-    scanned = with_base(docs.select(F.col(text_column)), text_column)
+    scanned, parts, _ = with_base(docs.select(F.col(text_column)), text_column)
     # what base patterns take is no ordinary identifier
-    rest = F.when(F.size("__base") > 0, F.regexp_replace("__text", ANY_BASE, " ")).otherwise(F.col("__text"))
-    plain = F.regexp_extract_all(rest, F.lit(f"({IDENTIFIER})"), F.lit(1))
-    both = F.concat(
-        F.transform("__base", lambda x: F.struct(x["value"].alias("token"), F.lit(True).alias("random"))),
-        F.transform(plain, lambda x: F.struct(x.alias("token"), F.lit(False).alias("random"))),
+    both = F.transform(
+        parts,
+        lambda p: F.concat(
+            F.transform(p["base"], lambda x: F.struct(x["value"].alias("token"), F.lit(True).alias("random"))),
+            F.transform(
+                F.regexp_extract_all(blanked(p["text"], p["base"]), F.lit(f"({IDENTIFIER})"), F.lit(1)),
+                lambda x: F.struct(x.alias("token"), F.lit(False).alias("random")),
+            ),
+        ),
     )
-    return scanned.select(F.inline(both))
+    return scanned.select(F.inline(F.flatten(both)))
 
 
 def train(tokens: DataFrame) -> dict[str, float] | None:
@@ -151,37 +200,39 @@ def ratio_table(model: dict[str, float]) -> Column:
     return F.expr("array(" + ",".join(f"{v:.6f}D" for v in cells) + ")")  # folded to one literal of bounded size
 
 
+def _scanned(docs: DataFrame, model: dict[str, float] | None, text_column: str, least_ratio: float) -> tuple[DataFrame, str, str]:
+    """Adds (at, text, spans) of every piece; spans (kind, start, end, ratio) count from the piece's start."""
+    scanned, parts, text = with_base(docs, text_column)
+    table = ratio_table(model) if model is not None else None
+
+    def span(x: Column, kind: Column, score: Column) -> Column:
+        return F.struct(kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score.alias("ratio"))
+
+    def spans(p: Column) -> Column:
+        found = F.transform(p["base"], lambda x: span(x, x["kind"], F.lit(None).cast("double")))
+        if table is not None:
+            long = placed(blanked(p["text"], p["base"]), TOKEN)
+            scored = F.transform(long, lambda t: span(t, F.lit(len(KINDS)), ratio(t["value"], table)))
+            found = F.array_sort(F.concat(found, F.filter(scored, lambda t: t["ratio"] >= least_ratio)), _before)
+        return F.struct(p["at"].alias("at"), p["text"].alias("text"), found.alias("spans"))
+
+    return scanned.withColumn(parts, F.transform(parts, spans)), parts, text
+
+
 def find_secrets(docs: DataFrame, model: dict[str, float] | None, text_column: str = "text", least_ratio: float = LEAST_RATIO) -> DataFrame:
     """All columns of `docs` and `secrets`: array of (kind, start, end, ratio), by start, then kind.
 
     `ratio` is null for base spans. The scan is a map: no shuffle, no Python.
     """
-    name = fresh(docs.columns, "secrets")
-    scanned = with_base(docs, text_column)
-    empty = F.array().cast("array<struct<kind:int,start:int,end:int,ratio:double>>")
-    base = F.transform(
-        "__base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(None).cast("double").alias("ratio"))
+    scanned, parts, text = _scanned(docs, model, text_column, least_ratio)
+    moved = F.transform(
+        parts,
+        lambda p: F.transform(
+            p["spans"],
+            lambda x: F.struct(x["kind"].alias("kind"), (x["start"] + p["at"]).alias("start"), (x["end"] + p["at"]).alias("end"), x["ratio"].alias("ratio")),
+        ),
     )
-    added = empty
-    if model is not None:
-        table = ratio_table(model)
-        scanned = scanned.withColumn("__long", placed(F.col("__text"), TOKEN))
-        free = F.filter(
-            "__long",
-            lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
-        )
-        scored = F.transform(
-            free,
-            lambda t: F.struct(F.lit(len(KINDS)).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), ratio(t["value"], table).alias("ratio")),
-        )
-        added = F.when(F.size("__long") > 0, F.filter(scored, lambda t: t["ratio"] >= least_ratio)).otherwise(empty)
-        scanned = scanned.withColumn("__added", added)
-        added = F.col("__added")
-    both = F.when(
-        F.size(added) > 0,
-        F.array_sort(F.concat(base, added), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])),
-    ).otherwise(base)
-    return scanned.withColumn(name, both).drop(*[c for c in scanned.columns if c.startswith("__") and c not in docs.columns])
+    return scanned.withColumn(fresh(docs.columns, "secrets"), F.flatten(moved)).drop(parts, text)
 
 
 def spelled(spans: Column) -> Column:
@@ -208,19 +259,21 @@ def secret_report(documents: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, text_column: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """`docs` with every span replaced by `mask`; overlapping spans become one. Null texts stay null."""
     model = train(labelled_tokens(docs, text_column))
-    found = find_secrets(docs, model, text_column)
-    name = fresh(docs.columns, "secrets")
+    scanned, parts, _ = _scanned(docs, model, text_column, LEAST_RATIO)
+
+    def clean(p: Column) -> Column:
+        run = F.aggregate(
+            p["spans"],
+            F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
+            lambda acc, x: F.struct(
+                F.when(x["start"] < acc["at"], acc["out"])
+                .otherwise(F.concat(acc["out"], F.substring(p["text"], acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask)))
+                .alias("out"),
+                F.greatest(acc["at"], x["end"]).alias("at"),
+            ),
+        )
+        whole = F.concat(run["out"], F.substring(p["text"], run["at"] + 1, F.length(p["text"])))
+        return F.when(F.size(p["spans"]) == 0, p["text"]).otherwise(whole)
+
     text = F.col(text_column)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    run = F.aggregate(
-        name,
-        start,
-        lambda acc, x: F.struct(
-            F.when(x["start"] < acc["at"], acc["out"])
-            .otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask)))
-            .alias("out"),
-            F.greatest(acc["at"], x["end"]).alias("at"),
-        ),
-    )
-    clean = F.when(F.size(name) == 0, text).otherwise(F.concat(run["out"], F.substring(text, run["at"] + 1, F.length(text))))
-    return found.withColumn(text_column, clean).select(*docs.columns)
+    return scanned.withColumn(text_column, F.when(text.isNotNull(), F.array_join(F.transform(parts, clean), ""))).select(*docs.columns)
