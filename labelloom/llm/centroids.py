@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import slices
+from labelloom.llm.common import packed, slices, unpacked
 from labelloom.session import BROADCAST_BYTES, cut_lineage, staging_path
 
 #: Column blocks that the dimensions are cut into, if there are as many.
@@ -42,17 +42,6 @@ _CENTROIDS = "block int, k int, width int, slice binary"
 _MOST = 2**63 - 1
 
 
-def packed(values: np.ndarray) -> tuple[str, bytes]:
-    """The name of the narrowest integers that hold the values, and their bytes."""
-    low, high = (int(values.min()), int(values.max())) if values.size else (0, 0)
-    kind = next(k for k in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
-    return kind, values.astype(kind).tobytes()
-
-
-def unpacked(kind: str, data: bytes, rows: int) -> np.ndarray:
-    return np.frombuffer(data, kind).astype(np.int64).reshape(rows, -1)
-
-
 def partial_distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Exact squared distances (rows by centroids) over the given columns."""
     out = np.zeros((len(x), len(centroids)), np.int64)

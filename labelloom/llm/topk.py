@@ -1,14 +1,15 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
-One list per dimension, sorted by value, is read in step: from its top for queries with a positive
-weight there, from its bottom for a negative one. What a list has shown is exact, what it hides is
-bounded by the value at the reading depth (above) and by its far end (below), so every vector has a
-lower and an upper score bound. Reading stops when no outsider's upper bound reaches the k-th lower
-bound; the final scores of those that are left are then resolved.
+One list per dimension, sorted by value, is read in steps: from its top for queries with a positive
+weight there, from its bottom for a negative one; lists without weight are not read. An entry that was read
+adds its product to its vector's score. What a vector has not shown yet is bounded by the value where its list is being
+read (above) and by the far end of the list (below), so every vector has a lower and an upper score bound.
+Reading stops when the upper bounds of all but a few vectors have fallen below the k-th lower bound; the final scores
+of those few are then resolved. `n_read` is the number of entries that were read for a query.
 
-Vectors are cut into blocks by a hash of their id, each block with lists of its own, and queries into
-blocks; a task holds one pair of blocks and keeps k rows for each query. Bounds for all queries of a
-block at one depth are matrix products. Blocks are joined on their numbers; nothing is broadcast.
+Vectors are cut into blocks by a hash of their id, each packed into one row with lists of its own, sorted
+once in a task; queries, a small share of the rows, are packed into parts and replicated to the blocks. A task
+holds one block and one part at a time and keeps k rows for each query. Nothing is broadcast.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without an id,
 take no part; rows of one id count once, with the smallest vector; vectors of other lengths than the
@@ -22,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import pieces_for
+from labelloom.llm.common import cut_lineage, packed, pieces_for, stage_table, text_batches, unpacked
 
-#: Rows of a block of vectors and of a block of queries: a task holds both as 64-bit matrices.
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 1024
-#: Shares of the lists at which bounds are looked at.
-DEPTHS = (0.3, 0.6, 1.0)
-#: Reading stops with this many vectors (times k) a query that can still qualify.
+#: Rows of a block of vectors and of a part of the queries.
+VECTOR_BLOCK, QUERY_BLOCK = 2048, 1024
+#: Shares of the lists up to which a step reads. Bounds of many dimensions tighten late.
+STEPS = (0.25, 0.5, 0.7, 0.8, 0.9, 0.95, 1.0)
+#: Reading stops with this many vectors (times k) that can still qualify.
 RESOLVE = 40
 #: Above this sum of products 64-bit floats are no longer exact.
 EXACT = 1 << 53
@@ -36,65 +37,56 @@ EXACT = 1 << 53
 LONG = (1 << 63) - 1
 
 
-def block_top_k(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query index, vector index, score) of each query's best k in the block, its own id left out."""
-    exact = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, vectors.shape[1]) < EXACT
-    if not exact:  # such weights have no exact bounds in floats: whole lists, whole numbers
-        return _best(queries.astype(object) @ vectors.astype(object).T, ids, query_ids, np.arange(len(query_ids)), k)
-    vectors, queries = vectors.astype(np.float64), queries.astype(np.float64)
-    lists = np.sort(vectors, axis=0)  # one sorted list per dimension, read from either end
-    last = len(ids) - 1
-    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    active, found = np.arange(len(query_ids)), []
-    for share in DEPTHS:
-        depth = min(last, int(share * last))
-        if depth == last or len(ids) <= k:
-            scores = queries[active] @ vectors.T
-            found.append(_best(scores, ids, query_ids, active, k))
-            break
-        top, bottom = lists[last - depth], lists[depth]
-        upper = plus[active] @ np.maximum(vectors, top).T + minus[active] @ np.minimum(vectors, bottom).T
-        lower = plus[active] @ np.where(vectors >= top, vectors, lists[0]).T
-        lower += minus[active] @ np.where(vectors <= bottom, vectors, lists[last]).T
-        own = query_ids[active][:, None] == ids[None, :]
-        lower[own] = -np.inf
-        upper[own] = -np.inf
-        kth = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k]
-        open_ = (upper >= kth[:, None]) & ~own
-        done = open_.sum(axis=1) <= RESOLVE * k
-        for row in np.flatnonzero(done):
-            left = np.flatnonzero(open_[row])
-            score = vectors[left] @ queries[active[row]]
-            order = np.lexsort((ids[left], -score))[:k]
-            found.append((np.full(len(order), active[row]), left[order], score[order]))
-        active = active[~done]
-        if not len(active):
-            break
-    return tuple(np.concatenate([f[c] for f in found]) for c in range(3))
-
-
-def _best(scores, ids, query_ids, active, k):
-    rows, columns, values = [], [], []
-    for row, q in enumerate(active):
-        score = scores[row]
-        left = np.flatnonzero(ids != query_ids[q])
-        if len(left) > 4 * k and scores.dtype != object:
-            kth = np.partition(score[left], len(left) - k)[len(left) - k]
-            left = left[score[left] >= kth]
-        if scores.dtype == object:
-            order = sorted(range(len(left)), key=lambda j, s=score, c=left: (-s[c[j]], ids[c[j]]))[:k]
-        else:
-            order = np.lexsort((ids[left], -score[left]))[:k]
-        rows.append(np.full(len(order), q))
-        columns.append(left[order])
-        values.append(score[left[order]])
-    return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
-
-
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    flat = column.combine_chunks()
-    flat = flat.flatten() if isinstance(flat, pa.ListArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, width)
+class SortedLists:
+    """The vectors of a block as one sorted list per dimension."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.whole = ids, vectors
+        self.vectors = vectors.astype(np.float64)
+        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()
+        self.values = np.take_along_axis(self.vectors.T, self.order, axis=1)
+        self.largest = float(np.abs(self.vectors).max(initial=0))
+
+    def top_k(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(vector indexes, scores, entries read) of the query's best k, its own id left out."""
+        n, lists = len(self.ids), np.flatnonzero(query)
+        if self.largest * float(np.abs(query).max(initial=0)) * max(1, len(query)) >= EXACT:
+            # such weights have no exact bounds in floats: whole lists, whole numbers
+            return *_best(self.whole.astype(object) @ query.astype(object), self.ids, own, np.arange(n), k), n * len(query)
+        weight = query[lists].astype(np.float64)
+        up = weight > 0
+        # a column of ranks for each list, best entry first
+        score, hidden, read = np.zeros(n), np.ones((len(lists), n)), 0
+        far = weight * np.where(up, self.values[lists, 0], self.values[lists, -1])
+        left = np.flatnonzero(self.ids != own)
+        rank = np.arange(n)
+        for share in STEPS:
+            upto = max(read, min(n, int(np.ceil(share * n))))
+            if upto > read:
+                at = np.where(up[:, None], n - 1 - rank[read:upto], rank[read:upto])
+                which = self.order[lists[:, None], at]
+                score += np.bincount(which.ravel(), (weight[:, None] * self.values[lists[:, None], at]).ravel(), minlength=n)
+                hidden[np.arange(len(lists))[:, None], which] = 0.0
+                read = upto
+            if read == n or len(left) <= RESOLVE * k:
+                break
+            edge = weight * self.values[lists, np.where(up, n - read, read - 1)]
+            upper, lower = (score + edge @ hidden)[left], (score + far @ hidden)[left]
+            left = left[upper >= np.partition(lower, len(left) - k)[len(left) - k]]
+            if len(left) <= RESOLVE * k:
+                break
+        found = score[left] if read == n else self.vectors[left] @ query.astype(np.float64)
+        return *_best(found, self.ids, own, left, k), read * len(lists)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, own: int, left: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best k of the vectors `left`, of which `scores` are the scores."""
+    keep = np.flatnonzero(ids[left] != own)
+    if scores.dtype == object:
+        order = sorted(keep, key=lambda j: (-scores[j], ids[left[j]]))[:k]
+    else:
+        order = keep[np.lexsort((ids[left[keep]], -scores[keep]))[:k]]
+    return left[order], scores[order]
 
 
 def exact_top_k(
@@ -106,37 +98,58 @@ def exact_top_k(
     vector_block: int = VECTOR_BLOCK,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best for each row where `is_query`; vectors are array<bigint>."""
+    """(query_id, rank, vec_id, score, n_read) of the k best for each row where `is_query`; vectors are array<bigint>."""
     usable = vectors.where(
         F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & ~F.exists(vector_column, lambda x: x.isNull())
     ).select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).alias("v"), is_query.alias("q"))
     rows = usable.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")).withColumn("width", F.size("v"))
+    rows = stage_table(rows, "vectors")
     sizes = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
-    n_vectors, n_queries = pieces_for(sizes[0], vector_block), pieces_for(sizes[1], query_block)
-    block, part = (F.pmod(F.xxhash64("id", F.lit(s)), F.lit(n)).cast("bigint") for s, n in ((0, n_vectors), (1, n_queries)))
-
-    def numbers(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-
-    left = rows.withColumn("block", block).select("id", "v", "width", "block", numbers(n_queries).alias("part"))
-    right = rows.where("q").withColumn("part", part).select("id", "v", "width", "part", numbers(n_vectors).alias("block"))
-
-    def search(one: pa.Table, two: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        if not one.num_rows or not two.num_rows:
-            return pa.table({n: pa.array([], pa.int64()) for n in names})
-        width = one.column("width")[0].as_py()
-        ids, query_ids = one.column("id").to_numpy(), two.column("id").to_numpy()
-        q, v, score = block_top_k(ids, _matrix(one.column("v"), width), query_ids, _matrix(two.column("v"), width), k)
-        return pa.table({n: pa.array(a, pa.int64()) for n, a in zip(names, (query_ids[q], ids[v], [min(max(int(s), -LONG - 1), LONG) for s in score]))})
-
-    keys = ["block", "part", "width"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        search, "query_id bigint, vec_id bigint, score bigint"
-    )
+    n_blocks, n_parts = pieces_for(sizes[0], vector_block), pieces_for(sizes[1], query_block)
+
+    def pack(table: pa.Table) -> pa.Table:
+        width = table.column("width")[0].as_py()
+        flat = table.column("v").combine_chunks()
+        flat = flat.flatten() if isinstance(flat, pa.ListArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
+        kind, cells = packed(flat.to_numpy(zero_copy_only=False))
+        ids = table.column("id").to_numpy().astype("<i8").tobytes()
+        return pa.table({"block": table.column("block")[:1], "width": pa.array([width], pa.int32()), "ids": pa.array([ids], pa.binary()), "kind": [kind], "cells": pa.array([cells], pa.binary())})
+
+    def packs(df: DataFrame, n: int, seed: int) -> DataFrame:
+        dealt = df.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("bigint"))
+        return dealt.groupBy("block", "width").applyInArrow(pack, "block bigint, width int, ids binary, kind string, cells binary")
+
+    blocks = packs(rows.select("id", "v", "width"), n_blocks, 0)
+    parts = packs(rows.where("q").select("id", "v", "width"), n_parts, 1)
+    everywhere = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
+    parts = parts.withColumnsRenamed({c: f"q_{c}" for c in ("ids", "kind", "cells")}).drop("block").withColumn("block", everywhere)
+    # the same block comes in a row for all parts
+    pairs = blocks.join(parts, ["block", "width"]).select("block", "width", "ids", "kind", "cells", "q_ids", "q_kind", "q_cells")
+
+    def search(batches):
+        held, lists = None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held != (r["block"], r["width"]):
+                    ids = np.frombuffer(r["ids"], "<i8")
+                    held, lists = (r["block"], r["width"]), SortedLists(ids, unpacked(r["kind"], r["cells"], len(ids)))
+                query_ids = np.frombuffer(r["q_ids"], "<i8")
+                out: list[list] = [[], [], [], []]
+                for own, query in zip(query_ids.tolist(), unpacked(r["q_kind"], r["q_cells"], len(query_ids)), strict=True):
+                    found, scores, read = lists.top_k(own, query, k)
+                    out[0] += [own] * len(found)
+                    out[1] += lists.ids[found].tolist()
+                    out[2] += [min(max(int(s), -LONG - 1), LONG) for s in scores]
+                    out[3] += [read] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score", "n_read"])
+
+    best = text_batches(pairs).mapInArrow(search, "query_id bigint, vec_id bigint, score bigint, n_read bigint")
+    best = cut_lineage(best.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(0)), F.lit(n_blocks))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    # a block tells a query what it has read with each of its rows
+    read = best.groupBy("query_id", "block").agg(F.max("n_read").alias("n")).groupBy("query_id").agg(F.sum("n").alias("n_read"))
+    return ranked.drop("n_read").join(read, "query_id").select("query_id", "rank", "vec_id", "score", "n_read")
 
 
 def scaled(embedding: Column, factor: int = 256) -> Column:
@@ -147,4 +160,4 @@ def scaled(embedding: Column, factor: int = 256) -> Column:
 
 def nearest(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     vectors = embeddings.select("vec_id", scaled(F.col("embedding")).alias("vector"))
-    return exact_top_k(vectors, F.col("vec_id") % every == 0, k)
+    return exact_top_k(vectors, F.col("vec_id") % every == 0, k).select("query_id", "rank", "vec_id", "score")

@@ -56,12 +56,29 @@ def test_few_or_no_candidates(spark):
 def test_reading_stops_early_with_the_right_rows():
     rng = np.random.default_rng(1)
     base = np.floor(256 * rng.normal(size=(3000, 4)) * [[10, 1, 0.1, 0.1]]).astype(np.int64)
-    q, v, s = topk.block_top_k(np.arange(3000), base, np.arange(20), base[:20], 5)
+    lists = topk.SortedLists(np.arange(3000), base)
     for row in range(20):
-        scores = base @ base[row]
-        want = sorted((-int(scores[i]), i) for i in range(3000) if i != row)[:5]
-        got = sorted((-int(x), int(i)) for i, x in zip(v[q == row], s[q == row], strict=True))
-        assert got == want
+        found, scores, read = lists.top_k(row, base[row], 5)
+        every = base @ base[row]
+        want = sorted((-int(every[i]), i) for i in range(3000) if i != row)[:5]
+        assert sorted((-int(s), int(i)) for i, s in zip(found, scores, strict=True)) == want
+        assert read < base.size
+
+
+def test_lists_without_weight_are_not_read():
+    base = np.random.default_rng(2).integers(-50, 50, (500, 6))
+    query = np.array([3, 0, 0, -2, 0, 0])
+    found, scores, read = topk.SortedLists(np.arange(500), base).top_k(-1, query, 3)
+    assert scores.tolist() == sorted((base @ query).tolist(), reverse=True)[:3]
+    assert read <= 2 * 500
+
+
+def test_entries_read_are_reported(spark):
+    rows = [(i, [float(i % 7), float(i % 11) / 100]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    scaled = frame.select("vec_id", topk.scaled(F.col("embedding")).alias("vector"))
+    got = topk.exact_top_k(scaled, F.col("vec_id") == 6, 5, vector_block=100).collect()
+    assert len(got) == 5 and len({r.n_read for r in got}) == 1 and 0 < got[0].n_read <= 600
 
 
 def words(text):
