@@ -515,7 +515,7 @@ def _(spark, sf):
     rows = seen.mark("all", pubs(spark, sf))
     rows = seen.mark("article", ops.filter_item_type(rows))
     rows = seen.mark("complete", ops.filter_complete(rows))
-    rows = seen.mark("labelled", ops.is_pos(rows, LABELS))
+    rows = seen.mark("labelled", rows.where(ops.any_positive(LABELS)))
     stage_table(rows, "labelled")
     return seen.counts(spark)
 
