@@ -13,10 +13,12 @@ A key that a third of all documents share has one entry a slice.
 
 Families of near copies would give a pair for each two members. The first confirmation therefore takes one
 partner for every set (the one that shares most keys, of the smallest hash in each table), then the other such
-partners in different components. The second round takes the pairs of sets with a common key that are then still in
-different components. Before a set is read again, pairs must pass bounds from their sizes and 256-bit parity
-signatures, which no link fails, and agree in half of their minhashes (a byte of each), which a link at
-s = 0.8 fails with probability below 1e-8, less than the tables miss.
+partners in different components. The second pairs the sets of a key that is still in several components with
+the set among them that shares most keys with others: the text that copies were made from, which is nearer to each
+than they are to each other. The third takes all pairs of sets with a common key that are then still in different
+components. Before a set is read again, pairs must pass bounds from their sizes and from parities of their
+shingles in 2,048 cells, which no link fails and few pairs below the threshold pass, and agree in half of their
+minhashes (a byte of each), which a link at s = 0.8 fails with probability below 1e-8, less than the tables miss.
 
 Shingles and sets are 64-bit hashes, keys 32 bits within a slab; keys that are equal by chance only add candidates.
 
@@ -42,7 +44,7 @@ from labelloom.session import broadcast_if_small, stage_table
 #: Parts of each of the two collections, and minhashes of a part.
 SIDE, ROWS = 14, 3
 #: Rows of a packed slice, key entries of a slab on average, words of a parity signature.
-SLICE, SLAB, SIGNATURE = 2_048, 1 << 21, 4
+SLICE, SLAB, SIGNATURE = 2_048, 1 << 21, 32
 #: Words of a sketch, and how far below the threshold, in percent, the share of equal minhashes may be.
 SKETCH, SLACK = 2 * SIDE * ROWS // 7, 30
 _SIGNS = "".join(f", s{k} bigint" for k in range(SIGNATURE)) + "".join(f", m{k} bigint" for k in range(SKETCH))
@@ -293,16 +295,26 @@ def near_copies(docs: DataFrame, n: int = 2, percent: int = 80, id_column: str =
     links = links.unionByName(_confirmed(rest, nodes, named, n, percent))
     reached = cut_lineage(connected_components(links, "a", "b"))
 
-    # second round: sets with a common key that are still in different components
+    # second round: the sets of keys that are still in several components with the set of the key that shares most keys
     entries = matches.where("key is not null").select("key", F.col("a").alias("node"))
-    entries = entries.join(broadcast_if_small(reached), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ = entries.join(broadcast_if_small(mixed), "key", "left_semi").distinct()
-    open_ = stage_table(open_.join(facts, "node"), "minhash-open")
+    weights = cut_lineage(entries.groupBy("node").agg(F.count(F.lit(1)).alias("weight")))
+    open_ = stage_table(_open_entries(entries, reached).distinct(), "minhash-open")
+    leads = open_.join(broadcast_if_small(weights), "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("b"))
+    star = open_.join(leads, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    star = _apart(star, reached).join(partners, ["a", "b"], "left_anti")
+    star = star.join(facts.withColumnRenamed("node", "a").alias("x"), "a").join(facts.withColumnRenamed("node", "b").alias("y"), "b")
+    tried = cut_lineage(star.where(_may_link("x", "y", percent)).select("a", "b"))
+    links = links.unionByName(_confirmed(tried, nodes, named, n, percent))
+    reached = cut_lineage(connected_components(links, "a", "b"))
+
+    # third round: all sets with a common key that are still in different components
+    open_ = _open_entries(open_.drop("component"), reached).join(facts, "node")
+    open_ = stage_table(open_, "minhash-open")
     x, y = open_.alias("x"), open_.alias("y")
     common = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     crossing = x.join(y, common & _may_link("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    crossing = crossing.join(partners, ["a", "b"], "left_anti").join(partners.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    tried = partners.select("a", "b").union(tried)
+    crossing = crossing.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     links = links.unionByName(_confirmed(crossing, nodes, named, n, percent))
     final = cut_lineage(connected_components(links, "a", "b"))
 
@@ -314,6 +326,13 @@ def near_copies(docs: DataFrame, n: int = 2, percent: int = 80, id_column: str =
     )
 
 
+def _open_entries(entries: DataFrame, reached: DataFrame) -> DataFrame:
+    """(key, node, component) of the keys whose sets are in several components."""
+    placed = entries.join(broadcast_if_small(reached), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    return placed.join(broadcast_if_small(mixed), "key", "left_semi").select("key", "node", "component")
+
+
 def _apart(pairs: DataFrame, reached: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     ends = [reached.select(F.col("node").alias(c), F.col("component").alias(f"at_{c}")) for c in ("a", "b")]
