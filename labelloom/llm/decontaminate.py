@@ -168,7 +168,7 @@ def _phrase(places, window):
 def search(index: DataFrame, items: DataFrame, window: int = 13, slop: int | None = NEAR_SLOP, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
     """Matches (shard, no, item_id, kind, start, end) of items; `end` is exclusive, both in words of the document."""
     spark = index.sparkSession
-    items = items.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"))
+    items = items.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text")).distinct()
     held = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks, found = pieces_for(held, ITEM_BYTES), None
     for block in range(blocks):
