@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import forget, give_back, pieces_for, slices, text_batches
+from labelloom.llm.common import forget, pieces_for, slices, text_batches, trim
 from labelloom.session import broadcast_if_small, stage_table
 
 #: Bytes of text in a shard, and of test items that are searched at a time.
-SHARD_BYTES, ITEM_BYTES = 12 << 20, 4 << 20
+SHARD_BYTES, ITEM_BYTES = 8 << 20, 4 << 20
 #: Share of a window's distinct terms that a near match needs, and words that may stand between them.
 NEAR_PERCENT, NEAR_SLOP = 80, 10
 INDEX = "shard string, term binary, n bigint, places binary, ids array<bigint>, starts array<int>"
@@ -107,7 +107,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             if held >= SHARD_BYTES:
                 yield from shard_rows(ids, lengths, words)
                 ids, lengths, words, held = [], [], [], 0
-                give_back()
+                trim()
         if ids:
             yield from shard_rows(ids, lengths, words)
 
