@@ -27,6 +27,8 @@ from labelloom.llm.common import cut_lineage, packed, pieces_for, stage_table, t
 
 #: Rows of a block of vectors and of a part of the queries.
 VECTOR_BLOCK, QUERY_BLOCK = 2048, 1024
+#: Queries that read the lists of a block side by side.
+TOGETHER = 128
 #: Shares of the lists up to which a step reads. Bounds of many dimensions tighten late.
 STEPS = (0.25, 0.5, 0.7, 0.8, 0.9, 0.95, 1.0)
 #: Reading stops with this many vectors (times k) that can still qualify.
@@ -38,45 +40,67 @@ LONG = (1 << 63) - 1
 
 
 class SortedLists:
-    """The vectors of a block as one sorted list per dimension."""
+    """The vectors of a block as one sorted list per dimension; `ranks` is each vector's place in each list."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.whole = ids, vectors
         self.vectors = vectors.astype(np.float64)
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(self.vectors.T, self.order, axis=1)
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.ranks = np.empty_like(order)
+        np.put_along_axis(self.ranks, order, np.arange(len(ids))[:, None], axis=0)
+        self.values = np.take_along_axis(self.vectors, order, axis=0)
         self.largest = float(np.abs(self.vectors).max(initial=0))
 
-    def top_k(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(vector indexes, scores, entries read) of the query's best k, its own id left out."""
-        n, lists = len(self.ids), np.flatnonzero(query)
-        if self.largest * float(np.abs(query).max(initial=0)) * max(1, len(query)) >= EXACT:
+    def top_k(self, own: list[int], queries: np.ndarray, k: int):
+        """(vector indexes, scores, entries read) of each query's best k, its own id left out.
+
+        All queries read their lists in the same steps: the entries that a step adds are those between two ranks, and
+        what they add to all scores and bounds is a product of matrices.
+        """
+        n, width = self.whole.shape
+        lists = np.count_nonzero(queries, axis=1)
+        largest = self.largest * np.abs(queries.astype(np.float64)).max(axis=1, initial=0) * max(1, width)
+        out: list = [None] * len(queries)
+        for q in np.flatnonzero(largest >= EXACT):
             # such weights have no exact bounds in floats: whole lists, whole numbers
-            return *_best(self.whole.astype(object) @ query.astype(object), self.ids, own, np.arange(n), k), n * len(query)
-        weight = query[lists].astype(np.float64)
-        up = weight > 0
-        # a column of ranks for each list, best entry first
-        score, hidden, read = np.zeros(n), np.ones((len(lists), n)), 0
-        far = weight * np.where(up, self.values[lists, 0], self.values[lists, -1])
-        left = np.flatnonzero(self.ids != own)
-        rank = np.arange(n)
+            out[q] = *_best(self.whole.astype(object) @ queries[q].astype(object), self.ids, own[q], np.arange(n), k), n * width
+        open_ = np.flatnonzero(largest < EXACT)
+        weight = queries[open_].astype(np.float64)
+        top, bottom = np.maximum(weight, 0.0), np.minimum(weight, 0.0)
+        mine = np.array([own[q] for q in open_], np.int64)[:, None] == self.ids
+        score, far, read = np.zeros((len(open_), n)), None, 0
+        if n:
+            far = top * self.values[0] + bottom * self.values[-1]
+        left = ~mine
         for share in STEPS:
+            if not len(open_):
+                break
             upto = max(read, min(n, int(np.ceil(share * n))))
             if upto > read:
-                at = np.where(up[:, None], n - 1 - rank[read:upto], rank[read:upto])
-                which = self.order[lists[:, None], at]
-                score += np.bincount(which.ravel(), (weight[:, None] * self.values[lists[:, None], at]).ravel(), minlength=n)
-                hidden[np.arange(len(lists))[:, None], which] = 0.0
+                fresh_top = (self.ranks >= n - upto) & (self.ranks < n - read)
+                fresh_bottom = (self.ranks >= read) & (self.ranks < upto)
+                score += top @ (self.vectors * fresh_top).T + bottom @ (self.vectors * fresh_bottom).T
                 read = upto
-            if read == n or len(left) <= RESOLVE * k:
-                break
-            edge = weight * self.values[lists, np.where(up, n - read, read - 1)]
-            upper, lower = (score + edge @ hidden)[left], (score + far @ hidden)[left]
-            left = left[upper >= np.partition(lower, len(left) - k)[len(left) - k]]
-            if len(left) <= RESOLVE * k:
-                break
-        found = score[left] if read == n else self.vectors[left] @ query.astype(np.float64)
-        return *_best(found, self.ids, own, left, k), read * len(lists)
+            done = left.sum(axis=1) <= RESOLVE * k
+            if read == n:
+                done[:] = True
+            elif not done.all():
+                unread_top, unread_bottom = (self.ranks < n - read).astype(np.float64).T, (self.ranks >= read).astype(np.float64).T
+                upper = score + (top * self.values[n - read]) @ unread_top + (bottom * self.values[read - 1]) @ unread_bottom
+                lower = score + np.where(top > 0, far, 0.0) @ unread_top + np.where(bottom < 0, far, 0.0) @ unread_bottom
+                lower[~left] = -np.inf
+                # those done have fewer than k times RESOLVE left and stay as they are
+                bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
+                left &= (upper >= bar[:, None]) | done[:, None]
+                done = left.sum(axis=1) <= RESOLVE * k
+            for j in np.flatnonzero(done):
+                q, at = open_[j], np.flatnonzero(left[j])
+                found = score[j, at] if read == n else self.vectors[at] @ weight[j]
+                out[q] = *_best(found, self.ids, own[q], at, k), read * int(lists[q])
+            keep = ~done
+            open_, weight, top, bottom, far = open_[keep], weight[keep], top[keep], bottom[keep], far[keep]
+            score, left = score[keep], left[keep]
+        return out
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: int, left: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,13 +158,15 @@ def exact_top_k(
                     ids = np.frombuffer(r["ids"], "<i8")
                     held, lists = (r["block"], r["width"]), SortedLists(ids, unpacked(r["kind"], r["cells"], len(ids)))
                 query_ids = np.frombuffer(r["q_ids"], "<i8")
+                queries = unpacked(r["q_kind"], r["q_cells"], len(query_ids))
                 out: list[list] = [[], [], [], []]
-                for own, query in zip(query_ids.tolist(), unpacked(r["q_kind"], r["q_cells"], len(query_ids)), strict=True):
-                    found, scores, read = lists.top_k(own, query, k)
-                    out[0] += [own] * len(found)
-                    out[1] += lists.ids[found].tolist()
-                    out[2] += [min(max(int(s), -LONG - 1), LONG) for s in scores]
-                    out[3] += [read] * len(found)
+                for at in range(0, len(queries), TOGETHER):
+                    owns = query_ids[at : at + TOGETHER].tolist()
+                    for own, (found, scores, read) in zip(owns, lists.top_k(owns, queries[at : at + TOGETHER], k), strict=True):
+                        out[0] += [own] * len(found)
+                        out[1] += lists.ids[found].tolist()
+                        out[2] += [min(max(int(s), -LONG - 1), LONG) for s in scores]
+                        out[3] += [read] * len(found)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score", "n_read"])
 
     best = text_batches(pairs).mapInArrow(search, "query_id bigint, vec_id bigint, score bigint, n_read bigint")
