@@ -35,6 +35,8 @@ STEPS = (0.25, 0.5, 0.7, 0.8, 0.9, 0.95, 1.0)
 RESOLVE = 40
 #: Above this sum of products 64-bit floats are no longer exact.
 EXACT = 1 << 53
+#: Below this one 32-bit floats are exact too.
+EXACT_SHORT = 1 << 24
 #: Scores beyond a bigint are held at its ends.
 LONG = (1 << 63) - 1
 
@@ -51,8 +53,12 @@ class SortedLists:
         self.values = np.take_along_axis(self.vectors, order, axis=0)
         self.largest = float(np.abs(self.vectors).max(initial=0))
 
-    def top_k(self, own: list[int], queries: np.ndarray, k: int):
-        """(vector indexes, scores, entries read) of each query's best k, its own id left out.
+    def top_k(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(vector indexes, scores, entries read) of the query's best k, its own id left out."""
+        return self.top_k_of([own], query[None], k)[0]
+
+    def top_k_of(self, own: list[int], queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """`top_k` of each query.
 
         All queries read their lists in the same steps: the entries that a step adds are those between two ranks, and
         what they add to all scores and bounds is a product of matrices.
@@ -65,13 +71,11 @@ class SortedLists:
             # such weights have no exact bounds in floats: whole lists, whole numbers
             out[q] = *_best(self.whole.astype(object) @ queries[q].astype(object), self.ids, own[q], np.arange(n), k), n * width
         open_ = np.flatnonzero(largest < EXACT)
-        weight = queries[open_].astype(np.float64)
+        kind = np.float32 if largest[open_].max(initial=0) < EXACT_SHORT else np.float64
+        weight, vectors, values = queries[open_].astype(kind), self.vectors.astype(kind), self.values.astype(kind)
         top, bottom = np.maximum(weight, 0.0), np.minimum(weight, 0.0)
         mine = np.array([own[q] for q in open_], np.int64)[:, None] == self.ids
-        score, far, read = np.zeros((len(open_), n)), None, 0
-        if n:
-            far = top * self.values[0] + bottom * self.values[-1]
-        left = ~mine
+        score, left, read = np.zeros((len(open_), n), kind), ~mine, 0
         for share in STEPS:
             if not len(open_):
                 break
@@ -79,26 +83,31 @@ class SortedLists:
             if upto > read:
                 fresh_top = (self.ranks >= n - upto) & (self.ranks < n - read)
                 fresh_bottom = (self.ranks >= read) & (self.ranks < upto)
-                score += top @ (self.vectors * fresh_top).T + bottom @ (self.vectors * fresh_bottom).T
+                score += top @ (vectors * fresh_top).T
+                score += bottom @ (vectors * fresh_bottom).T
                 read = upto
             done = left.sum(axis=1) <= RESOLVE * k
             if read == n:
                 done[:] = True
             elif not done.all():
-                unread_top, unread_bottom = (self.ranks < n - read).astype(np.float64).T, (self.ranks >= read).astype(np.float64).T
-                upper = score + (top * self.values[n - read]) @ unread_top + (bottom * self.values[read - 1]) @ unread_bottom
-                lower = score + np.where(top > 0, far, 0.0) @ unread_top + np.where(bottom < 0, far, 0.0) @ unread_bottom
+                unread_top, unread_bottom = (self.ranks < n - read).astype(kind).T, (self.ranks >= read).astype(kind).T
+                upper = (top * values[n - read]) @ unread_top
+                upper += (bottom * values[read - 1]) @ unread_bottom
+                upper += score
+                lower = (top * values[0]) @ unread_top
+                lower += (bottom * values[-1]) @ unread_bottom
+                lower += score
                 lower[~left] = -np.inf
                 # those done have fewer than k times RESOLVE left and stay as they are
-                bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
+                bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf, kind)
                 left &= (upper >= bar[:, None]) | done[:, None]
                 done = left.sum(axis=1) <= RESOLVE * k
             for j in np.flatnonzero(done):
                 q, at = open_[j], np.flatnonzero(left[j])
-                found = score[j, at] if read == n else self.vectors[at] @ weight[j]
+                found = score[j, at] if read == n else vectors[at] @ weight[j]
                 out[q] = *_best(found, self.ids, own[q], at, k), read * int(lists[q])
             keep = ~done
-            open_, weight, top, bottom, far = open_[keep], weight[keep], top[keep], bottom[keep], far[keep]
+            open_, weight, top, bottom = open_[keep], weight[keep], top[keep], bottom[keep]
             score, left = score[keep], left[keep]
         return out
 
@@ -162,7 +171,7 @@ def exact_top_k(
                 out: list[list] = [[], [], [], []]
                 for at in range(0, len(queries), TOGETHER):
                     owns = query_ids[at : at + TOGETHER].tolist()
-                    for own, (found, scores, read) in zip(owns, lists.top_k(owns, queries[at : at + TOGETHER], k), strict=True):
+                    for own, (found, scores, read) in zip(owns, lists.top_k_of(owns, queries[at : at + TOGETHER], k), strict=True):
                         out[0] += [own] * len(found)
                         out[1] += lists.ids[found].tolist()
                         out[2] += [min(max(int(s), -LONG - 1), LONG) for s in scores]

@@ -65,6 +65,24 @@ def test_reading_stops_early_with_the_right_rows():
         assert read < base.size
 
 
+@pytest.mark.parametrize("scale", [1, 1 << 12, 1 << 27, 1 << 40])
+def test_queries_read_side_by_side(scale):
+    """Queries that stop at different steps, in floats of either size or whole numbers, get what each gets alone."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(-90, 90, (900, 5)) * np.array([scale, 10, 1, 1, 1])
+    queries = np.concatenate([base[:30], np.eye(5, dtype=np.int64), -np.eye(5, dtype=np.int64), np.zeros((1, 5), np.int64)])
+    own = [*range(30), *[-1] * 11]
+    lists = topk.SortedLists(np.arange(900), base)
+    together = lists.top_k_of(own, queries, 4)
+    for mine, query, (found, scores, read) in zip(own, queries, together, strict=True):
+        every = base.astype(object) @ query.astype(object)
+        want = sorted((-int(every[i]), i) for i in range(900) if i != mine)[:4]
+        assert [(-int(s), int(i)) for i, s in zip(found, scores, strict=True)] == want
+        one = lists.top_k(mine, query, 4)
+        assert one[0].tolist() == found.tolist() and one[2] == read
+    assert scale > 1 << 20 or len({read for *_, read in together}) > 1
+
+
 def test_lists_without_weight_are_not_read():
     base = np.random.default_rng(2).integers(-50, 50, (500, 6))
     query = np.array([3, 0, 0, -2, 0, 0])
