@@ -45,6 +45,8 @@ from labelloom.session import broadcast_if_small, stage_table
 SIDE, ROWS = 14, 3
 #: Rows of a packed slice, key entries of a slab on average, words of a parity signature.
 SLICE, SLAB, SIGNATURE = 2_048, 1 << 21, 32
+#: Words of a parity signature that goes with each key of a set.
+FOLDED = 8
 #: Words of a sketch, and how far below the threshold, in percent, the share of equal minhashes may be.
 SKETCH, SLACK = 2 * SIDE * ROWS // 7, 30
 _SIGNS = "".join(f", s{k} bigint" for k in range(SIGNATURE)) + "".join(f", m{k} bigint" for k in range(SKETCH))
@@ -308,11 +310,7 @@ def near_copies(docs: DataFrame, n: int = 2, percent: int = 80, id_column: str =
     reached = cut_lineage(connected_components(links, "a", "b"))
 
     # third round: all sets with a common key that are still in different components
-    open_ = _open_entries(open_.drop("component"), reached).join(facts, "node")
-    open_ = stage_table(open_, "minhash-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    common = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    crossing = x.join(y, common & _may_link("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    crossing = _crossing(_open_entries(open_.drop("component"), reached), facts, percent)
     tried = partners.select("a", "b").union(tried)
     crossing = crossing.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     links = links.unionByName(_confirmed(crossing, nodes, named, n, percent))
@@ -333,6 +331,23 @@ def _open_entries(entries: DataFrame, reached: DataFrame) -> DataFrame:
     return placed.join(broadcast_if_small(mixed), "key", "left_semi").select("key", "node", "component")
 
 
+def _crossing(entries: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a common key in different components that may link, of entries (key, node, component).
+
+    A set has an entry for each of its open keys, so entries carry a signature folded to `FOLDED` words: parities of
+    cells that are added up differ in no more cells than before. What passes meets the whole signatures.
+    """
+    folds = [functools.reduce(Column.bitwiseXOR, [F.col(f"s{k}") for k in range(f, SIGNATURE, FOLDED)]).alias(f"f{f}") for f in range(FOLDED)]
+    short = stage_table(entries.join(facts.select("node", F.col("n").cast("int").alias("n"), *folds), "node"), "minhash-open")
+    n_a, n_b = (F.col(f"{side}.n").cast("bigint") for side in "xy")
+    differ = sum((F.bit_count(F.col(f"x.f{f}").bitwiseXOR(F.col(f"y.f{f}"))) for f in range(FOLDED)), F.lit(0))
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+    near = near & (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent) & (differ * (100 + percent) <= (n_a + n_b) * (100 - percent))
+    pairs = short.alias("x").join(short.alias("y"), near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = pairs.join(facts.withColumnRenamed("node", "a").alias("x"), "a").join(facts.withColumnRenamed("node", "b").alias("y"), "b")
+    return pairs.where(_may_link("x", "y", percent)).select("a", "b")
+
+
 def _apart(pairs: DataFrame, reached: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     ends = [reached.select(F.col("node").alias(c), F.col("component").alias(f"at_{c}")) for c in ("a", "b")]

@@ -163,6 +163,17 @@ def test_near_copies_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_few_words_of_a_signature_go_with_each_key(spark, monkeypatch):
+    """What is staged for every open key of a set holds no whole signature, and all links are found from it."""
+    staged, stage = {}, tensor_minhash.stage_table
+    monkeypatch.setattr(tensor_minhash, "stage_table", lambda df, name: staged.setdefault(name, []).append(df.columns) or stage(df, name))
+    rows = [(2000 + k, t) for k, t in enumerate(family(31, 40, 5, 110))] + [(3000 + k, t) for k, t in enumerate(family(32, 30, 9, 90))]
+    got = tensor_minhash.near_duplicates(documents(spark, rows)).collect()
+    assert plain([r[:3] for r in got]) == plain(brute_components(rows, 2, 80))
+    assert len(staged["minhash-open"]) == 2
+    assert all(len(columns) <= 4 + tensor_minhash.FOLDED for columns in staged["minhash-open"])
+
+
 def test_no_documents(spark):
     assert tensor_minhash.near_duplicates(documents(spark, [])).count() == 0
     assert plain(tensor_minhash.near_duplicates(documents(spark, [(1, None), (2, "")])).collect()) == plain([(1, 0, 1, True), (2, 0, 2, True)])
