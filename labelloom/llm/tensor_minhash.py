@@ -16,7 +16,7 @@ partner for every set (the one that shares most keys, of the smallest hash in ea
 partners in different components. The second pairs the sets of a key that is still in several components with
 the set among them that shares most keys with others: the text that copies were made from, which is nearer to each
 than they are to each other. The third takes all pairs of sets with a common key that are then still in different
-components. Before a set is read again, pairs must pass bounds from their sizes and from parities of their
+components; they are made and tested inside tasks, and only those that pass the bounds below become rows. Before a set is read again, pairs must pass bounds from their sizes and from parities of their
 shingles in 2,048 cells, which no link fails and few pairs below the threshold pass, and agree in half of their
 minhashes (a byte of each), which a link at s = 0.8 fails with probability below 1e-8, less than the tables miss.
 
@@ -45,8 +45,10 @@ from labelloom.session import broadcast_if_small, stage_table
 SIDE, ROWS = 14, 3
 #: Rows of a packed slice, key entries of a slab on average, words of a parity signature.
 SLICE, SLAB, SIGNATURE = 2_048, 1 << 21, 32
-#: Words of a parity signature that goes with each key of a set.
+#: Words of a parity signature that are looked at before the whole one.
 FOLDED = 8
+#: Third round: sets of a key that meet whole, entries of a slab on average, sets of a small cell, pairs compared at a time.
+BLOCK, OPEN_SLAB, FEW, PAIRS = 2_048, 1 << 15, 24, 1 << 14
 #: Words of a sketch, and how far below the threshold, in percent, the share of equal minhashes may be.
 SKETCH, SLACK = 2 * SIDE * ROWS // 7, 30
 _SIGNS = "".join(f", s{k} bigint" for k in range(SIGNATURE)) + "".join(f", m{k} bigint" for k in range(SKETCH))
@@ -334,18 +336,79 @@ def _open_entries(entries: DataFrame, reached: DataFrame) -> DataFrame:
 def _crossing(entries: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a common key in different components that may link, of entries (key, node, component).
 
-    A set has an entry for each of its open keys, so entries carry a signature folded to `FOLDED` words: parities of
-    cells that are added up differ in no more cells than before. What passes meets the whole signatures.
+    Keys are dealt to slabs, and a set meets a slab once, with its signature and the cells it has there: a cell is a key, or
+    for a key of more than `BLOCK` sets two of its blocks. Pairs are made and tested inside the tasks, so
+    only those that pass all bounds become rows, one for each slab at most.
     """
-    folds = [functools.reduce(Column.bitwiseXOR, [F.col(f"s{k}") for k in range(f, SIGNATURE, FOLDED)]).alias(f"f{f}") for f in range(FOLDED)]
-    short = stage_table(entries.join(facts.select("node", F.col("n").cast("int").alias("n"), *folds), "node"), "minhash-open")
-    n_a, n_b = (F.col(f"{side}.n").cast("bigint") for side in "xy")
-    differ = sum((F.bit_count(F.col(f"x.f{f}").bitwiseXOR(F.col(f"y.f{f}"))) for f in range(FOLDED)), F.lit(0))
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    near = near & (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent) & (differ * (100 + percent) <= (n_a + n_b) * (100 - percent))
-    pairs = short.alias("x").join(short.alias("y"), near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    pairs = pairs.join(facts.withColumnRenamed("node", "a").alias("x"), "a").join(facts.withColumnRenamed("node", "b").alias("y"), "b")
-    return pairs.where(_may_link("x", "y", percent)).select("a", "b")
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = sizes.agg(F.coalesce(F.sum(F.col("n") * blocks), F.lit(0))).first()[0]
+    hot = broadcast_if_small(sizes.where(F.col("n") > BLOCK).select("key", blocks.cast("bigint").alias("blocks")))
+    cut = entries.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2)
+    # the number of the cell over two bits for the set's side: 0 where the two blocks are one
+    cut = cut.withColumn("cell", F.shiftleft(F.xxhash64("key", low, high), 2).bitwiseOR(side.cast("bigint")))
+    slab = F.pmod(F.shiftright("cell", 2), F.lit(pieces_for(dealt, OPEN_SLAB)))
+    met = cut.select(slab.alias("slab"), "node", "component", "cell").groupBy("slab", "node", "component").agg(F.collect_list("cell").alias("cells"))
+    met = stage_table(met, "minhash-open").join(facts.select("node", "n", *SIGNS), "node")
+
+    def meet(table: pa.Table) -> pa.Table:
+        column = lambda name: table.column(name).combine_chunks().to_numpy()
+        cells = table.column("cells").combine_chunks()
+        rows = np.repeat(np.arange(table.num_rows), np.diff(cells.offsets.to_numpy()))
+        signs = np.stack([column(s) for s in SIGNS], axis=1).view(np.uint64)
+        found = _near_pairs(cells.flatten().to_numpy(), rows, column("node"), column("component"), column("n"), signs, percent)
+        return pa.table({"a": column("node")[found[:, 0]], "b": column("node")[found[:, 1]]})
+
+    return met.groupBy("slab").applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _near_pairs(cells, rows, node, component, n, signs, percent: int) -> np.ndarray:
+    """Rows (i, j), node i below node j, that share a cell, are in different components and pass the bounds of `_may_link`.
+
+    Parities of cells that are added up differ in no more cells than before: signatures folded to `FOLDED` words are looked at first.
+    """
+    folded = np.bitwise_xor.reduce(signs[:, :SIGNATURE].reshape(len(signs), SIGNATURE // FOLDED, FOLDED), axis=1)
+    found = [np.empty((0, 2), np.int64)]
+
+    def keep(i, j, apart):
+        apart = apart & (component[i] != component[j]) & (n[i] * 100 >= n[j] * percent) & (n[j] * 100 >= n[i] * percent)
+        i, j = i[apart], j[apart]
+        for start in range(0, len(i), PAIRS):
+            x, y = i[start : start + PAIRS], j[start : start + PAIRS]
+            room = (n[x] + n[y]) * (100 - percent)
+            for words in (folded, signs[:, :SIGNATURE]):
+                near = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64) * (100 + percent) <= room
+                x, y, room = x[near], y[near], room[near]
+            bytes_ = (signs[x, SIGNATURE:] ^ signs[y, SIGNATURE:]).view(np.uint8)
+            near = np.count_nonzero(bytes_, axis=1) * 100 <= 7 * SKETCH * (100 - percent + SLACK)
+            x, y = x[near], y[near]
+            swap = node[x] > node[y]
+            found.append(np.unique(np.stack([np.where(swap, y, x), np.where(swap, x, y)], axis=1), axis=0))
+
+    order = np.lexsort((component[rows], cells >> 2))
+    cells, rows = cells[order], rows[order]
+    side, cells = cells & 3, cells >> 2
+    starts = np.flatnonzero(np.diff(cells, prepend=cells[:1] - 1))
+    sizes = np.diff(starts, append=len(cells))
+    # small cells side by side: every entry with the one `step` places on
+    few = np.flatnonzero(np.repeat(sizes, sizes) <= FEW)
+    for step in range(1, min(FEW, len(few))):
+        i, j = few[:-step], few[step:]
+        keep(rows[i], rows[j], (cells[i] == cells[j]) & ((side[i] == 0) | (side[i] != side[j])))
+    for start, size in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
+        at, here = rows[start : start + size], side[start : start + size]
+        # those of the largest component meet the others, never each other
+        _, code, many = np.unique(component[at], return_inverse=True, return_counts=True)
+        major = code == many.argmax()
+        minor = np.flatnonzero(~major)
+        step = max(1, 16 * PAIRS // size)
+        for first in range(0, len(minor), step):
+            i, j = (g.ravel() for g in np.meshgrid(minor[first : first + step], np.arange(size), indexing="ij"))
+            keep(at[i], at[j], (major[j] | (i < j)) & ((here[i] == 0) | (here[i] != here[j])))
+    return np.unique(np.concatenate(found), axis=0)
 
 
 def _apart(pairs: DataFrame, reached: DataFrame) -> DataFrame:

@@ -174,6 +174,25 @@ def test_few_words_of_a_signature_go_with_each_key(spark, monkeypatch):
     assert all(len(columns) <= 4 + tensor_minhash.FOLDED for columns in staged["minhash-open"])
 
 
+def test_pairs_of_a_key_become_rows_only_when_they_may_link(spark, monkeypatch):
+    """Sets that share keys with each other are compared inside the tasks: no join puts out a row for two of them."""
+    rng = np.random.default_rng(5)
+    draw = lambda k: rng.integers(-(2**62), 2**62, k)
+    keys, columns = draw(40), [draw(90) for _ in tensor_minhash.SIGNS]
+    # 90 sets of distant signatures in two components, and of each the next one has the same signature
+    facts = [(i, 400, *(int(c[i - i % 2]) for c in columns)) for i in range(90)]
+    entries = [(int(k), i, i % 2) for k in keys for i in range(90)] + [(1, 0, 0), (1, 1, 1), (2, 5, 1), (3, 4, 0), (3, 6, 0)]
+    facts = spark.createDataFrame(facts, "node bigint, n bigint, " + ", ".join(f"{s} bigint" for s in tensor_minhash.SIGNS))
+    entries = spark.createDataFrame(entries, "key bigint, node bigint, component bigint")
+    for block, few in ((2_048, 24), (16, 4)):
+        monkeypatch.setattr(tensor_minhash, "BLOCK", block, raising=False)
+        monkeypatch.setattr(tensor_minhash, "FEW", few, raising=False)
+        pairs = tensor_minhash._crossing(entries, facts, 80)
+        assert sorted(tuple(r) for r in pairs.collect()) == [(i, i + 1) for i in range(0, 90, 2)]
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Join" in line and ("<" in line or "bit_count" in line)]
+
+
 def test_no_documents(spark):
     assert tensor_minhash.near_duplicates(documents(spark, [])).count() == 0
     assert plain(tensor_minhash.near_duplicates(documents(spark, [(1, None), (2, "")])).collect()) == plain([(1, 0, 1, True), (2, 0, 2, True)])
