@@ -43,16 +43,18 @@ def build_dataset(
 ) -> tuple[DataFrame, DataFrame]:
     """(cleaned set with `row_key`, splits by `row_key`). Corpus ids must be unique.
 
-    The cleaned set is staged as a table: the folds read its labels, the sink all of it.
+    The cleaned set is staged as a table: the folds read its labels, the sink all of it. So are the lists, whose files
+    several steps read whole, and the unified set, so that its texts are cleaned and matched once.
     """
     corpus.check_unique(raw_corpus, "id")
     if metadata is not None:
         names = {"DOI": "doi", "Title": "title", "Abstract Note": "abstract"}
         filled = corpus.enrich_metadata(lists.withColumnsRenamed(names), metadata).drop("updated_fields")
         lists = filled.withColumnsRenamed({new: old for old, new in names.items()})
+    lists = stage_table(lists, "lists")
     background = corpus.delete_conflicts(raw_corpus, lists, drop=("author", "author_abbr", "topics"))
     unified = unify(lists, background.withColumnRenamed("id", "row_key"), settings.labels, settings.item_type)
-    clean = corpus.clean_corpus(unified, "row_key", settings.labels)
+    clean = corpus.clean_corpus(stage_table(unified, "unified"), "row_key", settings.labels)
     if settings.balance_coeff is not None:
         clean = corpus.undersample_negatives(clean, "row_key", settings.labels, settings.balance_coeff, settings.seed)
     clean = stage_table(clean, "cleaned")

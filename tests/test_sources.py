@@ -82,6 +82,20 @@ def test_dataset_build(spark):
     assert all(r.repeated == 0 and r.n_keys == len(rows) for r in folds.overlap_report(splits, "row_key").collect())
 
 
+def test_dataset_build_cleans_texts_once(spark, monkeypatch):
+    """The lists' files and the joins of texts are behind the conflicts and the cleaning, not in each of their passes."""
+    from suite.adapters import LABELS, corpus
+    from suite.landing import _positive_dirs
+
+    plans, conflicts, clean_corpus = {}, dataset.corpus.delete_conflicts, dataset.corpus.clean_corpus
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(dataset.corpus, "delete_conflicts", lambda raw, lists, **k: plans.setdefault("lists", plan(lists)) and conflicts(raw, lists, **k))
+    monkeypatch.setattr(dataset.corpus, "clean_corpus", lambda df, *a: plans.setdefault("unified", plan(df)) and clean_corpus(df, *a))
+    lists = readers.scan_positive_csv(spark, _positive_dirs(spark, SF), "LIST")
+    dataset.build_dataset(lists, corpus(spark, SF), dataset.BuildSettings(labels=LABELS, n_folds=3, n_runs=1))
+    assert all(" csv" not in p and "Join" not in p and "regexp" not in p.lower() for p in plans.values()) and len(plans) == 2
+
+
 def test_learners_beat_chance(spark):
     rows = [(i, [float(i % 2), float((i * 7) % 5)], i % 2) for i in range(200)]
     df = learning.embedding_features(spark.createDataFrame(rows, "k long, v array<double>, a int"), "v")
