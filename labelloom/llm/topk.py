@@ -5,11 +5,12 @@ weight there, from its bottom for a negative one; lists without weight are not r
 adds its product to its vector's score. What a vector has not shown yet is bounded by the value where its list is being
 read (above) and by the far end of the list (below), so every vector has a lower and an upper score bound.
 Reading stops when the upper bounds of all but a few vectors have fallen below the k-th lower bound; the final scores
-of those few are then resolved. `n_read` is the number of entries that were read for a query.
+of those few are then resolved. `n_read` is the number of entries that were read for a query; it follows the groups' number.
 
-Vectors are cut into blocks by a hash of their id, each packed into one row with lists of its own, sorted
-once in a task; queries, a small share of the rows, are packed into parts and replicated to the blocks. A task
-holds one block and one part at a time and keeps k rows for each query. Nothing is broadcast.
+Vectors are cut into blocks by a hash of their id, each packed into one row with lists of its own; queries, a small share of the
+rows, are packed into parts. Blocks and parts meet in squares of `SIDE` by `SIDE` at most, so that a block is copied once
+for so many parts and a part once for so many blocks; a square is a group of its own, in bounded memory. It sorts each block's
+lists once and keeps k rows for each query: the k-th score of the blocks before is a bound for the next one. Nothing is broadcast.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without an id,
 take no part; rows of one id count once, with the smallest vector; vectors of other lengths than the
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import cut_lineage, packed, pieces_for, stage_table, text_batches, unpacked
+from labelloom.llm.common import cut_lineage, packed, pieces_for, stage_table, unpacked
 
-#: Rows of a block of vectors and of a part of the queries.
-VECTOR_BLOCK, QUERY_BLOCK = 2048, 1024
+#: Rows of a block of vectors and of a part of the queries, and of either so many that meet in a group.
+VECTOR_BLOCK, QUERY_BLOCK, SIDE = 2048, 1024, 32
 #: Queries that read the lists of a block side by side.
 TOGETHER = 128
 #: Shares of the lists up to which a step reads. Bounds of many dimensions tighten late.
@@ -57,8 +58,8 @@ class SortedLists:
         """(vector indexes, scores, entries read) of the query's best k, its own id left out."""
         return self.top_k_of([own], query[None], k)[0]
 
-    def top_k_of(self, own: list[int], queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-        """`top_k` of each query.
+    def top_k_of(self, own: list[int], queries: np.ndarray, k: int, least: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """`top_k` of each query, of vectors that score at least `least` where it is told.
 
         All queries read their lists in the same steps: the entries that a step adds are those between two ranks, and
         what they add to all scores and bounds is a product of matrices.
@@ -76,6 +77,9 @@ class SortedLists:
         top, bottom = np.maximum(weight, 0.0), np.minimum(weight, 0.0)
         mine = np.array([own[q] for q in open_], np.int64)[:, None] == self.ids
         score, left, read = np.zeros((len(open_), n), kind), ~mine, 0
+        # scores are exact here, a bound beyond them is one that none or all reach
+        told = [None if least is None else least[q] for q in open_]
+        floor = np.array([-np.inf if b is None else min(max(b, -EXACT), EXACT) for b in told]).astype(kind)
         for share in STEPS:
             if not len(open_):
                 break
@@ -94,12 +98,14 @@ class SortedLists:
                 upper = (top * values[n - read]) @ unread_top
                 upper += (bottom * values[read - 1]) @ unread_bottom
                 upper += score
-                lower = (top * values[0]) @ unread_top
-                lower += (bottom * values[-1]) @ unread_bottom
-                lower += score
-                lower[~left] = -np.inf
+                bar = floor
+                if n > k and not np.isfinite(floor).all():
+                    lower = (top * values[0]) @ unread_top
+                    lower += (bottom * values[-1]) @ unread_bottom
+                    lower += score
+                    lower[~left] = -np.inf
+                    bar = np.maximum(floor, np.partition(lower, n - k, axis=1)[:, n - k])
                 # those done have fewer than k times RESOLVE left and stay as they are
-                bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf, kind)
                 left &= (upper >= bar[:, None]) | done[:, None]
                 done = left.sum(axis=1) <= RESOLVE * k
             for j in np.flatnonzero(done):
@@ -108,7 +114,7 @@ class SortedLists:
                 out[q] = *_best(found, self.ids, own[q], at, k), read * int(lists[q])
             keep = ~done
             open_, weight, top, bottom = open_[keep], weight[keep], top[keep], bottom[keep]
-            score, left = score[keep], left[keep]
+            score, left, floor = score[keep], left[keep], floor[keep]
         return out
 
 
@@ -154,36 +160,43 @@ def exact_top_k(
 
     blocks = packs(rows.select("id", "v", "width"), n_blocks, 0)
     parts = packs(rows.where("q").select("id", "v", "width"), n_parts, 1)
-    everywhere = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
-    parts = parts.withColumnsRenamed({c: f"q_{c}" for c in ("ids", "kind", "cells")}).drop("block").withColumn("block", everywhere)
-    # the same block comes in a row for all parts
-    pairs = blocks.join(parts, ["block", "width"]).select("block", "width", "ids", "kind", "cells", "q_ids", "q_kind", "q_cells")
-
-    def search(batches):
-        held, lists = None, None
-        for batch in batches:
-            for r in batch.to_pylist():
-                if held != (r["block"], r["width"]):
-                    ids = np.frombuffer(r["ids"], "<i8")
-                    held, lists = (r["block"], r["width"]), SortedLists(ids, unpacked(r["kind"], r["cells"], len(ids)))
-                query_ids = np.frombuffer(r["q_ids"], "<i8")
-                queries = unpacked(r["q_kind"], r["q_cells"], len(query_ids))
-                out: list[list] = [[], [], [], []]
+    # fewer blocks meet in a group where there are few: every core should have groups
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    down, across = max(pieces_for(n_blocks, SIDE), min(n_blocks, 4 * cores)), pieces_for(n_parts, SIDE)
+
+    def squares(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+    blocks = blocks.withColumn("down", F.pmod("block", F.lit(down))).withColumn("across", squares(across))
+    parts = parts.withColumn("across", F.pmod("block", F.lit(across))).withColumn("down", squares(down))
+    square = ["down", "across", "width"]
+
+    def search(blocks: pa.Table, parts: pa.Table) -> pa.Table:
+        given = [(np.frombuffer(r["ids"], "<i8"), r["kind"], r["cells"]) for r in parts.select(["ids", "kind", "cells"]).to_pylist()]
+        best: dict[int, list[tuple[int, int]]] = {int(q): [] for ids, _, _ in given for q in ids}
+        reads = dict.fromkeys(best, 0)
+        for r in blocks.select(["ids", "kind", "cells"]).to_pylist() if given else []:
+            ids = np.frombuffer(r["ids"], "<i8")
+            lists = SortedLists(ids, unpacked(r["kind"], r["cells"], len(ids)))
+            for query_ids, kind, cells in given:
+                queries = unpacked(kind, cells, len(query_ids))
                 for at in range(0, len(queries), TOGETHER):
                     owns = query_ids[at : at + TOGETHER].tolist()
-                    for own, (found, scores, read) in zip(owns, lists.top_k_of(owns, queries[at : at + TOGETHER], k), strict=True):
-                        out[0] += [own] * len(found)
-                        out[1] += lists.ids[found].tolist()
-                        out[2] += [min(max(int(s), -LONG - 1), LONG) for s in scores]
-                        out[3] += [read] * len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score", "n_read"])
-
-    best = text_batches(pairs).mapInArrow(search, "query_id bigint, vec_id bigint, score bigint, n_read bigint")
-    best = cut_lineage(best.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(0)), F.lit(n_blocks))))
+                    least = [-best[own][-1][0] if len(best[own]) == k else None for own in owns]
+                    for own, (found, scores, read) in zip(owns, lists.top_k_of(owns, queries[at : at + TOGETHER], k, least), strict=True):
+                        reads[own] += read
+                        best[own] = sorted([*best[own], *((-min(max(int(s), -LONG - 1), LONG), int(i)) for s, i in zip(scores, lists.ids[found], strict=True))])[:k]
+        rows = [(q, i, -s, reads[q]) for q, kept in best.items() for s, i in kept]
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("query_id", "vec_id", "score", "n_read"), zip(*rows) if rows else ((),) * 4, strict=True)})
+
+    grouped = blocks.drop("block").groupBy(*square).cogroup(parts.drop("block").groupBy(*square))
+    best = grouped.applyInArrow(search, "query_id bigint, vec_id bigint, score bigint, n_read bigint")
+    of_block = F.pmod(F.xxhash64("vec_id", F.lit(0)), F.lit(n_blocks))
+    best = cut_lineage(best.withColumn("down", F.pmod(of_block, F.lit(down))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    # a block tells a query what it has read with each of its rows
-    read = best.groupBy("query_id", "block").agg(F.max("n_read").alias("n")).groupBy("query_id").agg(F.sum("n").alias("n_read"))
+    # a group tells a query what it has read with each of its rows
+    read = best.groupBy("query_id", "down").agg(F.max("n_read").alias("n")).groupBy("query_id").agg(F.sum("n").alias("n_read"))
     return ranked.drop("n_read").join(read, "query_id").select("query_id", "rank", "vec_id", "score", "n_read")
 
 

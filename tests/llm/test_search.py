@@ -217,3 +217,37 @@ def test_empty_tables(spark):
     assert decontaminate.contamination(documents(spark, []), none).count() == 0
     got = decontaminate.contamination(documents(spark), none)
     assert {(r.n_hit, r.n_items, r.contaminated) for r in got.collect()} == {(0, 0, False)}
+
+
+@pytest.mark.parametrize("side", [1, 3, 50])
+def test_blocks_and_parts_meet_in_squares(spark, monkeypatch, side):
+    """Equal scores in several blocks included; a group hands on k rows a query, however many blocks it has, not k rows a block."""
+    rng = np.random.default_rng(12)
+    vectors = rng.integers(-3, 4, (700, 4))
+    vectors[600:] = vectors[:100]
+    frame = spark.createDataFrame([(k * 7, v.tolist()) for k, v in enumerate(vectors)], "vec_id bigint, vector array<bigint>")
+    monkeypatch.setattr(topk, "SIDE", side)
+    handed, cut = [], topk.cut_lineage
+    monkeypatch.setattr(topk, "cut_lineage", lambda df: handed.append(cut(df)) or handed[-1])
+    got = topk.exact_top_k(frame, F.col("vec_id") % 10 == 0, 5, vector_block=10, query_block=8).collect()
+    ids, scores = np.arange(700) * 7, vectors @ vectors.T
+    want = set()
+    for q in np.flatnonzero(ids % 10 == 0):
+        order = [i for i in np.lexsort((ids, -scores[q])) if i != q][:5]
+        want |= {(int(ids[q]), rank + 1, int(ids[i]), int(scores[q, i])) for rank, i in enumerate(order)}
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want and len(got) == len(want)
+    groups = max(-(-70 // side), min(70, 4 * spark.sparkContext.defaultParallelism))
+    assert handed[0].count() <= groups * 5 * 70
+
+
+def test_a_bound_from_other_blocks_keeps_equal_scores():
+    rng = np.random.default_rng(13)
+    base = rng.integers(-100, 100, (2000, 8))
+    lists, queries = topk.SortedLists(np.arange(2000), base), rng.integers(-100, 100, (6, 8))
+    free = lists.top_k_of([-1] * 6, queries, 4)
+    for shift in (0, 1):
+        bound = lists.top_k_of([-1] * 6, queries, 4, [int(scores[1]) + shift for _, scores, _ in free])
+        for (found, scores, read), (kept, held, less) in zip(free, bound, strict=True):
+            reach = scores >= scores[1] + shift
+            assert held[: reach.sum()].tolist() == scores[reach].tolist() and kept[: reach.sum()].tolist() == found[reach].tolist()
+            assert less <= read
